@@ -15,6 +15,7 @@ def get_spark(master: str = "local[*]", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     }
     return SparkSession.builder.master(master).config(map=base | conf).getOrCreate()
