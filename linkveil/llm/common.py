@@ -37,3 +37,34 @@ def lower_ascii(word: Column) -> Column:
 def spread(n_bits: int, *cols: Column) -> Column:
     """A uniform number of n_bits bits from cols."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - n_bits)
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows; else as it is, for a shuffled join that AQE may split."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def gapless(df: DataFrame, group: list[str], order: Column, ties: list[str], name: str = "slot", cell_rows: int = 50_000) -> DataFrame:
+    """df with a number from 0 without gaps inside each group, by the 64-bit hash `order`, then ties.
+
+    df must be a table (it is read twice). Groups are cut into cells by the top bits of the hash, about cell_rows
+    rows each at any size; cells are numbered on their own and start where the cells before them end, so no group
+    is gathered in one task.
+    """
+    from pyspark.sql import Window
+
+    bits = max(4, (df.count() // cell_rows).bit_length())
+    rows = df.withColumn("__h", order).withColumn("__cell", F.shiftrightunsigned("__h", 64 - bits))
+    sizes = rows.groupBy(*group, "__cell").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)],
+        F.col("__cell").alias("__c"),
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"),
+    )
+    on = F.col("__cell") == F.col("__c")
+    for k, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    inside = Window.partitionBy(*group, "__cell").orderBy("__h", *ties)
+    numbered = rows.withColumn("__k", F.row_number().over(inside))
+    return numbered.join(sized(starts, 100_000), on).select(*df.columns, (F.col("__from") + F.col("__k") - 1).alias(name))
