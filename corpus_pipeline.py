@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkveil.llm import quality_rules, simhash
+from linkveil.llm import decontaminate, packing, quality_rules, secrets, simhash
 from linkveil.session import materialize
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
     ("simhash", simhash.stage),
+    ("decontamination", decontaminate.stage),
+    ("secrets", secrets.stage),
+    ("packing", packing.stage),
 ]
 
 #: Learned rules, fingerprints and packing are beyond SQL; tests hold the stages against brute force.

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +69,15 @@ def gapless(df: DataFrame, group: list[str], order: Column, ties: list[str], nam
     inside = Window.partitionBy(*group, "__cell").orderBy("__h", *ties)
     numbered = rows.withColumn("__k", F.row_number().over(inside))
     return numbered.join(sized(starts, 100_000), on).select(*df.columns, (F.col("__from") + F.col("__k") - 1).alias(name))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of few rows while texts go to Python, so that neither side holds many texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkveil.llm.common import gapless, table
+from linkveil.llm.common import gapless, small_batches, table
 from linkveil.llm.tokens import encoder, tokenizer_path
 from linkveil.session import materialize
 
@@ -77,11 +77,11 @@ def pack(
 ) -> DataFrame:
     """(key, piece, n_tokens, bucket_len, batch, place, padding): every piece's batch in its bucket and place in that batch."""
     whole = token_counts(docs, tokenizer, key, text)
-    pieces = materialize(
-        whole.select(key, "n_tokens", F.posexplode(F.sequence(F.lit(0), (F.col("n_tokens") - 1).cast("int"), F.lit(max_len))).alias("piece", "at"))
-        .select(key, "piece", F.least(F.col("n_tokens") - F.col("at"), F.lit(max_len)).cast("int").alias("n_tokens")),
-        "pieces",
-    )
+    starts = F.sequence(F.lit(0), (F.col("n_tokens") - 1).cast("int"), F.lit(max_len))
+    cut = whole.select(key, "n_tokens", F.posexplode(starts).alias("piece", "at"))
+    length = F.least(F.col("n_tokens") - F.col("at"), F.lit(max_len)).cast("int")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(cut.select(key, "piece", length.alias("n_tokens")), "pieces")
     histogram = sorted((r["n_tokens"], r["count"]) for r in pieces.groupBy("n_tokens").count().collect())  # max_len rows at most
     bounds = best_boundaries([x for x, _ in histogram], [c for _, c in histogram], buckets)
     to = F.lit(max_len)

@@ -34,7 +34,9 @@ class RuleParams:
     max_conditions: int = 4
     quantiles: int = 40
     min_precision: float = 0.97
-    min_cover: int = 8
+    #: rejected rows that a condition must leave in the growing part, and a rule in the pruning part, at least
+    min_cover: int = 5
+    min_prune: int = 2
     #: rows that the list is fitted on at most, taken by a hash of the id
     max_fit_rows: int = 40_000
 
@@ -207,7 +209,7 @@ def learn_rules(labelled: DataFrame, params: RuleParams | None = None) -> list[R
         # prune: the shortest head of the conjunction whose precision on the pruning part is best
         worth = lambda c: (c[2] + 1) / (c[2] + c[3] + 2)
         keep = max(range(1, len(path)), key=lambda k: (round(worth(path[k]), 4), -k), default=0)
-        if not keep or worth(path[keep]) < params.min_precision or path[keep][0] < params.min_precision * sum(path[keep][:2]):
+        if not keep or path[keep][2] < params.min_prune or any(path[keep][k] < params.min_precision * sum(path[keep][k : k + 2]) for k in (0, 2)):
             break
         rule.conditions = rule.conditions[:keep]
         rules.append(rule)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from linkveil.llm import quality_rules, simhash
+from linkveil.llm import decontaminate, packing, quality_rules, secrets, sharding, simhash, tokens
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_kd_shards": sharding.op2_kd_shards,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_orc_tokens": tokens.op5_orc_tokens,
+    "op6_packing": packing.op6_packing,
+    "op8_secrets": secrets.op8_secrets,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkveil.llm.common import sized, table
+from linkveil.llm.common import sized, small_batches, table
 from linkveil.session import materialize, new_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -89,14 +89,10 @@ def write_orc(
 
     kind = docs.schema[key].dataType.simpleString()
     dealt = docs.select(key, F.col(text).cast("binary")).repartitionByRange(key).sortWithinPartitions(key)
-    (
-        dealt.mapInArrow(per_partition, f"`{key}` {kind}, before bigint, ids array<int>")
-        .write.option("orc.bloom.filter.columns", key)
-        .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", stride)
-        .option("compression", "zstd")
-        .orc(path)
-    )
+    rows = dealt.mapInArrow(per_partition, f"`{key}` {kind}, before bigint, ids array<int>")
+    bloom = {"orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(stride)}
+    with small_batches(docs.sparkSession):
+        rows.write.options(**bloom, compression="zstd").orc(path)
 
 
 def read_orc(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -127,7 +123,8 @@ def token_table(docs: DataFrame, path: str, tokenizer: str | None = None, key: s
 
     spark = docs.sparkSession
     write_orc(docs, path, tokenizer, key, text)
-    rows = materialize(read_orc(spark, path, key), "token-rows")
+    with small_batches(spark):
+        rows = materialize(read_orc(spark, path, key), "token-rows")
     # one row per file; names sort by range
     earlier = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy(F.col("file").alias("f")).agg(F.sum("n_tokens").alias("n")).select("f", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
