@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkveil.llm.common import table
+from linkveil.llm.common import small_batches, table
 from linkveil.operators.components import connected_components
 from linkveil.session import materialize
 
@@ -214,7 +214,8 @@ def near_duplicates(
     """(key, fp, component_id): component_id is the smallest key reachable by links, the row's own included."""
     if not 0 <= radius <= 3:
         raise ValueError("the ten tables are complete up to a radius of 3")
-    marked = materialize(fingerprints(docs, key, text, width), "fingerprints")
+    with small_batches(docs.sparkSession):
+        marked = materialize(fingerprints(docs, key, text, width), "fingerprints")
     fps = materialize(marked.groupBy("fp").agg(F.min(key).alias("__first")), "distinct-fingerprints")
     found = materialize(links(cells(fps.select("fp"), block), radius), "links")
     comps = materialize(connected_components(found), "components")
