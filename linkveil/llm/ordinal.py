@@ -70,7 +70,7 @@ def features(text: bytes | None) -> np.ndarray:
     return np.fromiter(out, dtype=np.int32, count=len(out))
 
 
-def fit_model(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 160, penalty: float = 2e-4, least_texts: int = 4, seed: int = 3) -> Model:
+def fit_model(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 120, penalty: float = 1e-3, least_texts: int = 6, seed: int = 3) -> Model:
     """Maximum likelihood with an L2 penalty by Adam over the whole sample; features of fewer than least_texts texts stay 0."""
     top = int(grades.max()) if len(grades) else 0
     weights = np.zeros(1 << BITS, np.float32)
