@@ -21,9 +21,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkveil.llm.common import let, table
+from linkveil.llm.common import let, sized, table
 from linkveil.session import materialize, new_path
 
+#: Rows (of some 100 bytes) of a side that may be broadcast.
+MOST = 200_000
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -116,23 +118,30 @@ class Ledger:
         return self.read().isEmpty()
 
 
-def scan(docs: DataFrame, ledger: Ledger, text: str = "text", rules: tuple[Rule, ...] = RULES) -> int:
-    """Scans the unseen (blob, rule version) pairs of docs and appends them to the ledger; returns how many rule versions lacked blobs."""
-    texts = F.coalesce(F.col(text), F.lit(""))
-    blobs = docs.select(blob_of(F.col(text)).alias("blob"), texts.alias("__t"))
+def unseen(docs: DataFrame, ledger: Ledger, key: str, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, __t, seen): one text for each blob that lacks a row for some rule version, with the versions it has.
+
+    Which blobs to scan is settled on addresses and keys; texts stay where they are while that table is small, as
+    it is for a run that brings few new blobs, and for a first run (an empty ledger), where only copies need it.
+    """
+    rows = docs.select(F.col(key).alias("__key"), blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    none = F.array().cast("array<string>")
+    keys = rows.groupBy(F.col("blob").alias("__b")).agg(F.min("__key").alias("__first"), F.count("*").alias("__n"))
+    mine = F.col("blob") == F.col("__b")
     if ledger.empty:
-        todo = blobs.dropDuplicates(["blob"]).select("blob", "__t", F.array().cast("array<string>").alias("seen"))
-    else:
-        tags = [r.tag for r in rules]
-        known = ledger.read().where(F.col("rule").isin(tags)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        full = known.where(F.size("seen") == len(tags)).select("blob")
-        rest = known.where(F.size("seen") < len(tags))
-        todo = (
-            blobs.join(full, "blob", "left_anti")
-            .dropDuplicates(["blob"])
-            .join(rest, "blob", "left")
-            .select("blob", "__t", F.coalesce("seen", F.array().cast("array<string>")).alias("seen"))
-        )
+        copied = sized(materialize(keys.where("__n > 1"), "copied-blobs"), MOST)
+        chosen = rows.join(copied, mine, "left").where(F.col("__b").isNull() | F.col("__key").eqNullSafe(F.col("__first")))
+        return chosen.select("blob", "__t", none.alias("seen"))
+    tags = [r.tag for r in rules]
+    known = ledger.read().where(F.col("rule").isin(tags)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    lacking = keys.join(known, mine, "left").where(F.col("seen").isNull() | (F.size("seen") < len(tags)))
+    todo = sized(materialize(lacking.select("__b", "__first", F.coalesce("seen", none).alias("seen")), "unseen-blobs"), MOST)
+    return rows.join(todo, mine).where(F.col("__key").eqNullSafe(F.col("__first"))).select("blob", "__t", "seen")
+
+
+def scan(docs: DataFrame, ledger: Ledger, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
+    """Scans the unseen (blob, rule version) pairs of docs and appends them to the ledger."""
+    todo = unseen(docs, ledger, key, text, rules)
     found = F.array(*[
         F.when(
             ~F.array_contains("seen", r.tag), F.struct(F.lit(r.tag).alias("rule"), spans_of(F.col("__t"), r).alias("spans"))
@@ -141,14 +150,13 @@ def scan(docs: DataFrame, ledger: Ledger, text: str = "text", rules: tuple[Rule,
     ])
     rows = todo.select("blob", F.explode(found).alias("f")).where("f is not null").select("blob", "f.rule", "f.spans")
     ledger.append(rows)
-    return len(rules)
 
 
 def findings(ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, found: array of (start, rank, kind, end), sorted): blobs in which something was found."""
     rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.tag, k)])
     kind = F.substring_index("rule", "@", 1)
-    rows = ledger.read().where(F.col("rule").isin([r.tag for r in rules]) & (F.size("spans") > 0))
+    rows = ledger.read().where(F.col("rule").isin([r.tag for r in rules]) & (F.size("spans") > 0)).dropDuplicates(["blob", "rule"])
     each = rows.select(
         "blob",
         F.transform(
@@ -165,8 +173,8 @@ def as_text(found: Column) -> Column:
 
 def scan_documents(docs: DataFrame, ledger: Ledger, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, blob, found) of every document, after scanning what the ledger lacks."""
-    scan(docs, ledger, text, rules)
-    hits = materialize(findings(ledger, rules), "findings").withColumnRenamed("blob", "__b")
+    scan(docs, ledger, key, text, rules)
+    hits = sized(materialize(findings(ledger, rules), "findings"), MOST).withColumnRenamed("blob", "__b")
     paths = docs.select(key, blob_of(F.col(text)).alias("blob"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     return paths.join(hits, F.col("blob") == F.col("__b"), "left").select(key, "blob", F.coalesce("found", none).alias("found"))
@@ -203,7 +211,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark in text, and n_chars of texts that changed."""
     ledger = Ledger(spark)
     scan(docs, ledger)
-    hits = materialize(findings(ledger), "findings").select(F.col("blob").alias("__b"), F.col("found").alias("__found"))
+    found = sized(materialize(findings(ledger), "findings"), MOST)
+    hits = found.select(F.col("blob").alias("__b"), F.col("found").alias("__found"))
     names = docs.columns
     rows = docs.select(*names, blob_of(F.col("text")).alias("__blob"))
     joined = rows.join(hits, F.col("__blob") == F.col("__b"), "left")
