@@ -30,7 +30,7 @@ def ranked(freq: DataFrame, name: str) -> DataFrame:
     """
     doubled = freq.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").agg(F.max("n").alias("tie"))
     head = freq.crossJoin(F.broadcast(doubled)).where(F.col("tie").isNull() | (F.col("n") > F.col("tie")))
-    first_tied = freq.crossJoin(F.broadcast(doubled)).where(F.col("n") == F.col("tie")).agg(F.min_by(name, name).alias(name), F.max("n").alias("n"))
+    first_tied = freq.crossJoin(F.broadcast(doubled)).where(F.col("n") == F.col("tie")).agg(F.min(name).alias(name), F.max("n").alias("n"))
     rows = head.select(name, "n", F.lit(False).alias("tied")).unionByName(
         first_tied.where("n is not null").select(name, "n", F.lit(True).alias("tied"))
     )
@@ -42,10 +42,12 @@ def align(filters: DataFrame, values: DataFrame, least: int = 1) -> DataFrame:
 
     filters: a column bits (pattern); values: a column value. With one rank in all the pair is taken as it is.
     """
-    left = ranked(frequencies(filters, "bits", "bits", least), "bits").select("rank", "bits", F.col("n").alias("bf_n"), F.col("tied").alias("lt"))
-    right = ranked(frequencies(values, "value", "value", least), "value").select("rank", "value", F.col("n").alias("value_n"), F.col("tied").alias("rt"))
-    both = left.join(right, "rank")
-    return both.where((~F.col("lt") & ~F.col("rt")) | (F.col("rank") == 0) & F.lit(False)).select("rank", "bits", "bf_n", "value", "value_n")
+    own, other = frequencies(filters, "bits", "bits", least), frequencies(values, "value", "value", least)
+    single = own.limit(2).count() == 1 or other.limit(2).count() == 1
+    left = ranked(own, "bits").select("rank", "bits", F.col("n").alias("bf_n"), F.col("tied").alias("lt"))
+    right = ranked(other, "value").select("rank", "value", F.col("n").alias("value_n"), F.col("tied").alias("rt"))
+    clear = ~F.col("lt") & ~F.col("rt") | (F.col("rank") == 0 if single else F.lit(False))
+    return left.join(right, "rank").where(clear).select("rank", "bits", "bf_n", "value", "value_n")
 
 
 def position_weights(aligned: DataFrame, bf_len: int, q: int) -> DataFrame:
