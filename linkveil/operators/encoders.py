@@ -73,11 +73,12 @@ def rbf_map(lengths: list[int], shares: list[float], bf_len: int, seed: int = 42
 
 def apply_rbf_map(filters: list[Column], table: list[list[int]]) -> Column:
     """The record filter: record bits whose attribute bit is set. The map is as long as the filter, a literal."""
-    parts = []
-    for number, pos in enumerate(filters):
+
+    def part(number: int, pos: Column) -> Column:
         pairs = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r).alias("r")) for n, b, r in table if n == number])
-        parts.append(F.transform(F.filter(pairs, lambda x, pos=pos: F.array_contains(pos, x["b"])), lambda x: x["r"]) if len(table) else F.array())
-    return F.array_sort(F.flatten(F.array(*parts)))
+        return F.transform(F.filter(pairs, lambda x: F.array_contains(pos, x["b"])), lambda x: x["r"])
+
+    return F.array_sort(F.flatten(F.array(*[part(n, pos) for n, pos in enumerate(filters)])))
 
 
 def dynamic_length(share: float, k: int, average_grams: float) -> int:

@@ -65,11 +65,13 @@ def large_components(edges: DataFrame, min_degree: int) -> DataFrame:
 
 
 def basic_features(nodes: DataFrame, edges: DataFrame, thresholds: list[float] = (0.0,), min_degree: int = 0) -> DataFrame:
-    """node_freq, max_sim, and per threshold min_sim, sim_avr, sim_std (population) and degree; 0 where there is no neighbour."""
+    """node_freq, max_sim, and per threshold min_sim, sim_avr, sim_std (population) and degree; 0 where there is no neighbour.
+
+    Names end in the threshold in hundredths."""
     aggs = [F.max("sim").alias("max_sim"), F.count("sim").alias("__all")]
     for t in thresholds:
-        s = F.when(F.col("sim") >= t, F.col("sim"))
-        aggs += [F.min(s).alias(f"min_sim_{t}"), F.avg(s).alias(f"sim_avr_{t}"), F.stddev_pop(s).alias(f"sim_std_{t}"), F.count(s).alias(f"degree_{t}")]
+        s, x = F.when(F.col("sim") >= t, F.col("sim")), round(100 * t)
+        aggs += [F.min(s).alias(f"min_sim_{x}"), F.avg(s).alias(f"sim_avr_{x}"), F.stddev_pop(s).alias(f"sim_std_{x}"), F.count(s).alias(f"degree_{x}")]
     got = both_ways(edges).groupBy("node").agg(*aggs)
     joined = nodes.select("node", F.size("entities").alias("node_freq")).join(got, "node", "left")
     zero = {c: 0 for c in joined.columns if c not in ("node", "node_freq")}

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from linkveil.session import get_spark
 
-    s = get_spark("local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    s = get_spark("local[3]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
