@@ -156,7 +156,7 @@ def true_positions(df: DataFrame, e: Encoding) -> DataFrame:
 def packed(pos: Column, bf_len: int) -> Column:
     """The filter as 64-bit words, lowest position first."""
     words = -(-bf_len // 64)
-    bit = lambda p: F.shiftleft(F.lit(1).cast("long"), F.pmod(p, F.lit(64)))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(64)))
     return F.transform(
         F.sequence(F.lit(0), F.lit(words - 1)),
         lambda w: F.aggregate(

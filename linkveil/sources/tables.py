@@ -169,4 +169,4 @@ def bit_columns(encoded: DataFrame, key: str = "rec_id", bits: str = "bits") ->
     """(pos, chunk, bitmap): each bit column as bitmaps of 32,768 rows, rows ordered by id."""
     rows = numbered(encoded.select(key, bits), key)
     each = rows.select(F.explode(bits).alias("pos"), "row")
-    return each.groupBy("pos", F.expr("bitmap_bucket_number(row)").alias("chunk")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(row))").alias("bitmap"))
+    return each.groupBy("pos", F.expr("bitmap_bucket_number(row + 1)").alias("chunk")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(row + 1))").alias("bitmap"))
