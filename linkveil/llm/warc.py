@@ -178,3 +178,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_warc(table(spark, sf_dir, "pages"), path)
     out = read_warc(index, path, with_payload=False)
     return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+#: The same rows in DuckDB; base 32 takes five hex digits to four letters.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((list_reduce(list_transform(range(5), lambda k: CAST(strpos('0123456789abcdef', substr(s, 5 * (j // 4) + k + 1, 1)) - 1 AS BIGINT)), lambda a, b: a * 16 + b)
+                     // CAST(pow(32, 3 - j % 4) AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON p.h = f.h
+"""
