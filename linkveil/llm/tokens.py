@@ -5,8 +5,8 @@ writer: id lists run-length encoded as integers, a row index for every `stride`
 file per range in ascending order. Each row also holds the ids before it in its file, so a reader needs one sum per
 file to know any document's place; stripes are read in parallel and pruned by doc_id.
 
-The tokenizer drops white space and never joins across it, so a text's ids are those of its blank-separated pieces in
-a row; pieces repeat, and their ids are kept in a bounded cache.
+The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row; words
+repeat, and their ids are kept in a bounded cache.
 
 Edge cases: null texts count as empty and hold the end id alone; null ids come first; rows with equal ids keep the
 order of their file; an empty table gives an empty result; other columns are ignored.
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,28 +33,81 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
 
+#: Texts of these characters alone are normalised by lower-casing: ASCII without controls but blanks, and the Latin-1 letters.
+PLAIN = re.compile("[\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: What the tokenizer splits such a text into, once it is lower-cased (a fixed value of its file).
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: The byte alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = [chr(b) if b in SHOWN else chr(256 + sum(x not in SHOWN for x in range(b))) for b in range(256)]
+
+
+class Words(dict):
+    """The ids of a lower-cased word, from the tokenizer's model where they are not yet known."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.tokenize(word if word.isascii() else "".join(ALPHABET[b] for b in word.encode()))
+        found = self[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return found
+
+
 class PieceEncoder:
-    """encode(text): its ids as little-endian 32-bit bytes, by a cache of at most `most` pieces of up to 64 bytes."""
+    """encode(text): its ids as little-endian 32-bit bytes.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Ids are looked up by blank-separated piece, in a cache of at most `most` pieces of up to 64 bytes. A new piece of plain
+    characters is put together from its words, which the tokenizer's model gives once each while they are in a second
+    cache of that size; other new pieces go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
+        self.words, self.marks = Words(self.tokenizer.model), [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: bytes | None) -> bytes:
-        pieces = (text or b"").split()
-        got = list(map(self.cache.get, pieces))
+        parts = (text or b"").split()
+        got = list(map(self.pieces.get, parts))
         if None in got:
-            new = list({p for p, x in zip(pieces, got, strict=True) if x is None})
-            encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            ids = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, encoded, strict=True)}
-            got = [ids[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
-            if len(self.cache) + len(ids) > self.most:
-                self.cache.clear()
-            self.cache.update((p, x) for p, x in ids.items() if len(p) <= 64)
+            ids = self._new({p for p, x in zip(parts, got, strict=True) if x is None})
+            got = [ids[p] if x is None else x for p, x in zip(parts, got, strict=True)]
+            if len(self.pieces) + len(ids) > self.most:
+                self.pieces.clear()
+            self.pieces.update((p, x) for p, x in ids.items() if len(p) <= 64)
         return b"".join(got)
 
+    def _new(self, parts: set[bytes]) -> dict[bytes, bytes]:
+        order = list(parts)
+        text = b" ".join(order).decode("utf-8", "replace")
+        if PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
+            return self._plain(order, text)
+        plain = [p for p in order if PLAIN.fullmatch(t := p.decode("utf-8", "replace")) and not any(m in t for m in self.marks)]
+        return self._plain(plain, b" ".join(plain).decode()) | self._encode(parts.difference(plain))
+
+    def _plain(self, parts: list[bytes], text: str) -> dict[bytes, bytes]:
+        of, words = self.words.__getitem__, SPLIT.findall
+        if len(self.words) > self.most:
+            self.words.clear()
+        return {p: b"".join(map(of, words(t))) for p, t in zip(parts, text.lower().split(" "), strict=True)} if parts else {}
+
+    def _encode(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Each piece's ids: all go through the tokenizer as one text, and offsets tell whose each id is."""
+        if not pieces:
+            return {}
+        new = list(pieces)
+        text = [p.decode("utf-8", "replace") for p in new]
+        done = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+        start = np.cumsum([0] + [len(t) + 1 for t in text])
+        at = np.fromiter((a for a, _ in done.offsets), dtype=np.int64, count=len(done.ids))
+        cuts = np.searchsorted(at, start) * 4
+        flat = np.array(done.ids, dtype="<u4").tobytes()
+        return {p: flat[i:j] for p, i, j in zip(new, cuts[:-1], cuts[1:], strict=True)}
+
 
 @functools.cache
 def encoder(path: str) -> PieceEncoder:

@@ -37,7 +37,10 @@ def test_awkward_rows(spark):
 
 def test_pieces_give_the_ids_of_whole_texts():
     e, t = q.PieceEncoder(q.tokenizer_path(), most=50), direct()
+    docs = [r[0] for r in __import__("duckdb").sql(f"SELECT text FROM read_parquet('{c.SF}/documents.parquet')").fetchall()]
+    every = "".join(map(chr, range(1, 256)))
     for text in [
+        *docs, every, every[8:], " ".join(every), "-".join(every), every[31:126] + every[191:], "'S it's 'RE we'RE'ved 'lld", "don't<|endoftext|>x", "n<|x",
         "It's DON'T we'll  x y z　w", "<|endoftext|>a <|startoftext|> <|endoftext|", "é ́x cafés", "İstanbul ΣΑΣ ß ﬁ", "a" * 500 + " 12345,67!?",
         "tab\tnew\nline\x0bvt\x0cff\x1cfs\x85nel", "🎉👨‍👩‍👧 zwj‍x", "", "   ", "﻿bom", *[r[1] or "" for r in c.awkward_rows()],
     ]:
