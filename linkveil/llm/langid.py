@@ -52,22 +52,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(texts: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character n-grams of lower-cased texts, runs of non-letters read as one blank; and the text each is of."""
+def cleaned(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts in a row, runs of non-letters read as one blank, and where each text starts."""
     clean = [" " + " ".join(LETTERS.findall(t.lower())) + " " for t in texts]
     code = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, clean), dtype=np.int64, count=len(clean))
-    of, end = np.repeat(np.arange(len(clean)), sizes), np.repeat(np.cumsum(sizes), sizes)
-    hashes, texts_of = [], []
+    return code, np.r_[0, np.cumsum([len(c) for c in clean])]
+
+
+def hashed(code: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order n, hashes of the n-grams from every position on; the last n - 1 of a text run over its end."""
     h = np.zeros(len(code), np.uint64)
-    at = np.arange(len(code))
     for n in range(1, max(orders) + 1):
         h = h[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(1)
         if n in orders:
-            whole = at[: len(h)] + n <= end[: len(h)]
-            hashes.append(mix(h[whole] ^ np.uint64(n << 56)))
-            texts_of.append(of[: len(h)][whole])
-    return np.concatenate(hashes), np.concatenate(texts_of)
+            yield n, mix(h ^ np.uint64(n << 56))
+
+
+def text_grams(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
+    """Hashes of a text's n-grams, repeats included."""
+    code, _ = cleaned([text])
+    return np.concatenate([h for _, h in hashed(code, tuple(n for n in orders if n <= len(code)))])
 
 
 @dataclass
@@ -81,10 +85,10 @@ class Filters:
     orders: tuple[int, ...] = field(default=ORDERS)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
+        """For each n-gram the languages that its k bits have in common."""
         out = None
         for k in range(HASHES):
-            at = (h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)
-            found = self.sliced[at]
+            found = self.sliced[(h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)]
             out = found if out is None else out & found
         return out
 
@@ -93,11 +97,18 @@ class Filters:
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not known:
             return names, score
-        h, of = grams([texts[i] for i in known], self.orders)
-        masks = self.masks(h)
-        n = np.bincount(of, minlength=len(known))
-        hits = np.stack([np.bincount(of[(masks >> np.uint64(k)) & np.uint64(1) == 1], minlength=len(known)) for k in range(len(self.languages))], axis=1)
-        true = np.maximum(hits - n[:, None] * self.false, 0) / (1 - self.false)
+        code, starts = cleaned([texts[i] for i in known])
+        hits, n_grams = np.zeros((len(known), len(self.languages))), np.zeros(len(known))
+        for n, h in hashed(code, self.orders):
+            masks = np.zeros(len(code), self.sliced.dtype)
+            masks[: len(h)] = self.masks(h)
+            for back in range(1, n):
+                masks[starts[1:] - back] = 0  # these would cross into the next text
+            n_grams += np.maximum(np.diff(starts) - n + 1, 0)
+            for k in range(len(self.languages)):
+                own = (masks >> masks.dtype.type(k)) & masks.dtype.type(1)
+                hits[:, k] += np.add.reduceat(own, starts[:-1], dtype=np.int64)
+        true = np.maximum(hits - n_grams[:, None] * self.false, 0) / (1 - self.false)
         best = np.where(true.max(axis=1) > 0, true.argmax(axis=1), self.common)
         total = true.sum(axis=1)
         for row, i in enumerate(known):
@@ -112,17 +123,12 @@ def _text_counts(rows: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(0).to_pylist()
-            for first in range(0, b.num_rows, 200):
-                part = slice(first, first + 200)
-                h, of = grams(b.column(1)[part].to_pylist(), orders)
-                names = sorted(set(langs[part]))
-                number = np.array([names.index(x) for x in langs[part]])
-                pairs = np.unique(np.stack([h, of.astype(np.uint64)]), axis=1) if len(h) else np.empty((2, 0), np.uint64)
-                for k, name in enumerate(names):
-                    own, n = np.unique(pairs[0][number[pairs[1].astype(np.int64)] == k], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
-                    )
+            for name in sorted(set(langs)):
+                own = [np.unique(text_grams(t, orders)) for t, x in zip(b.column(1).to_pylist(), langs, strict=True) if x == name]
+                gram, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
+                )
 
     return rows.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -158,21 +164,22 @@ def fit(docs: DataFrame, params: Params | None = None, max_train: int = MAX_TRAI
         .limit(params.most_grams)
         .collect()
     )
-    sliced = np.zeros(1 << TABLE_BITS, np.uint64)
-    bit = {name: np.uint64(1 << k) for k, name in enumerate(languages)}
+    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
+    sliced = np.zeros(1 << TABLE_BITS, kind)  # as narrow as the languages allow: it should stay in a core's cache
+    bit = {name: kind(1 << k) for k, name in enumerate(languages)}
     h = np.array([r["gram"] for r in chosen], dtype=np.int64).view(np.uint64)
-    mask = np.array([np.bitwise_or.reduce([bit[x] for x in r["langs"]]) for r in chosen], dtype=np.uint64)
+    mask = np.array([np.bitwise_or.reduce([bit[x] for x in r["langs"]]) for r in chosen], dtype=kind)
     for k in range(HASHES):
         at = (h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)
         np.bitwise_or.at(sliced, at, mask)
-    filled = np.array([np.mean((sliced >> np.uint64(k)) & np.uint64(1)) for k in range(len(languages))])
+    filled = np.array([np.mean((sliced >> kind(k)) & kind(1)) for k in range(len(languages))])
     common = languages.index(max(sizes, key=lambda x: (sizes[x], x)))
     return Filters(languages, sliced, filled**HASHES, common, params.orders)
 
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns, lang_pred and score of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** TABLE_BITS masks: 8 MB at any input size
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** TABLE_BITS masks: 8 MB at most at any input size
     names = list(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

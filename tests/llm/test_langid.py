@@ -38,14 +38,22 @@ def test_letters_decide_on_und(spark):
 
 def test_masks_hold_every_language_of_a_gram(spark):
     filters = q.fit(c.documents(spark))
-    assert filters.languages == ["de", "en", "es", "fr"]
-    h, _ = q.grams([" the "], (4,))
-    assert h.dtype == np.uint64 and (filters.masks(h) >= 0).all()
+    assert filters.languages == ["de", "en", "es", "fr"] and filters.sliced.dtype == np.uint8
     assert (filters.false < 0.2).all()
 
 
-def test_grams_of_a_batch_do_not_cross_texts():
-    h, of = q.grams(["ab", "", "cd"], (1, 2, 3, 4))
-    for k, t in enumerate(["ab", "", "cd"]):
-        alone, _ = q.grams([t], (1, 2, 3, 4))
-        assert sorted(h[of == k]) == sorted(alone)
+def test_a_batch_predicts_like_its_texts_alone(spark):
+    filters = q.fit(c.documents(spark))
+    texts = [r.text for r in c.documents(spark).limit(60).collect()] + ["a", None, "", "12", "é x", "the"]
+    names, score = filters.predict(texts)
+    for t, name, s in zip(texts, names, score, strict=True):
+        (one,), (alone,) = filters.predict([t])
+        assert one == name and abs(alone - s) < 1e-12
+    # and like a count of its n-grams one by one
+    for t in texts[:10]:
+        h = q.text_grams(t)
+        masks = filters.masks(h)
+        hits = np.array([np.sum(masks >> np.uint8(k) & np.uint8(1)) for k in range(4)])
+        true = np.maximum(hits - len(h) * filters.false, 0) / (1 - filters.false)
+        (name,), (s,) = filters.predict([t])
+        assert filters.languages[int(true.argmax())] == name and abs(true.max() / true.sum() - s) < 1e-9
