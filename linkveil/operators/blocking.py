@@ -68,6 +68,19 @@ def shared_blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return a.join(b.select("block").distinct(), "block", "left_semi"), b.join(a.select("block").distinct(), "block", "left_semi")
 
 
+def prefix_blocks(df: DataFrame, key: str, features: str, least: float) -> DataFrame:
+    """(block, key): a lossless set of blocks for pairs of at least that Dice similarity, without comparing all pairs.
+
+    Two sets of that similarity share at least n t / (2 - t) elements of either set's n, so that they meet in the n - that + 1
+    rarest elements of both. Blocks are rare elements; common ones make none.
+    """
+    each = df.select(key, F.explode(features).alias("block"))
+    often = each.groupBy("block").agg(F.count("*").alias("f"))
+    rare = each.join(often, "block").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "block"))).alias("all"))
+    shared = F.ceil(F.round(F.size("all") * (least / (2 - least)), 9)).cast("int")
+    return rare.select(key, F.explode(F.slice("all", F.lit(1), F.size("all") - shared + 1)).alias("x")).select(F.col("x.block").alias("block"), key)
+
+
 def candidate_pairs(blocks: DataFrame, key: str) -> DataFrame:
     """(src, dst), src < dst: every pair that shares a block, once."""
     left, right = blocks.select("block", F.col(key).alias("src")), blocks.select("block", F.col(key).alias("dst"))

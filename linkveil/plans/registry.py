@@ -1,6 +1,6 @@
 """Queries of the engine's own operators on the test tables, with their DuckDB SQL where SQL can express them.
 
-Plain records: all of `part`, values from p_name and p_type, salt p_size. Encoded records: those with an even key.
+Plain and encoded records: all of `part`, values from p_name and p_type, salt p_size.
 Results hold scalar columns; sets are joined strings; floats are rounded to six digits on both sides.
 """
 
@@ -43,7 +43,7 @@ def plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, d: str) -> DataFrame:
-    return plain(spark, d).where("cast(rec_id as long) % 2 = 0")
+    return plain(spark, d)
 
 
 def with_grams(df: DataFrame, value: str = "rec_val") -> DataFrame:
@@ -70,7 +70,7 @@ def r6(col):
 # -- SQL pieces
 
 P = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS rec_id, lower(trim(p_name)) AS a0, lower(trim(p_type)) AS a1, lower(trim(p_brand)) AS a2, lower(trim(p_name)) || ' ' || lower(trim(p_type)) AS rec_val, CAST(p_size AS VARCHAR) AS salt, p_partkey FROM part)"
-EN = "e AS (SELECT * FROM p WHERE p_partkey % 2 = 0)"
+EN = "e AS (SELECT * FROM p)"
 
 
 def grams_sql(v: str, q: int = Q) -> str:
@@ -522,9 +522,9 @@ SIMS = f"{NV}, cm AS (SELECT a.node AS src, b.node AS dst, count(*) AS m FROM ng
 
 
 def name_edges(spark, d) -> DataFrame:
-    """Dice edges of at least 0.75 among the values, candidates by the first letter of their name."""
+    """Dice edges of at least 0.75 among the values; candidates meet in rare q-grams."""
     nodes = materialize(name_values(spark, d), "name-values")
-    pairs = blocking.candidate_pairs(blocking.one_block(nodes, "node"), "node")
+    pairs = blocking.candidate_pairs(blocking.prefix_blocks(nodes, "node", "grams", 0.75), "node")
     return materialize(blocking.similarity_join(pairs, nodes, "node", "grams", c.dice, 0.75), "name-edges")
 
 
@@ -577,7 +577,7 @@ def bit_edges(spark, d) -> DataFrame:
     """The same pairs by the similarity of their filters."""
     nodes = encoders.encode(name_values(spark, d), encoders.Encoding(("v",), Q, False, L, 4)).select("node", "bits")
     nodes = materialize(nodes, "name-filters")
-    pairs = blocking.candidate_pairs(blocking.one_block(nodes, "node"), "node")
+    pairs = blocking.candidate_pairs(blocking.prefix_blocks(nodes, "node", "bits", 0.75), "node")
     return materialize(blocking.similarity_join(pairs, nodes, "node", "bits", c.dice, 0.75), "filter-edges")
 
 
@@ -595,10 +595,10 @@ def sim_interval_diff(spark, d):
     return statistics.similarity_gaps(name_edges(spark, d), bit_edges(spark, d)).withColumn("mean", r6("mean"))
 
 
-@query("cross_sim_tol", f"WITH {BITS}, pp AS (SELECT node, max(sim) AS t, count(*) AS a, count(*) FILTER (sim >= 0.80) AS h FROM (SELECT src AS node, sim FROM ed UNION ALL SELECT dst, sim FROM ed) GROUP BY node), ep AS (SELECT node, max(sim) AS t, count(*) AS a, count(*) FILTER (sim >= 0.80) AS h FROM (SELECT src AS node, sim FROM fe UNION ALL SELECT dst, sim FROM fe) GROUP BY node) SELECT pp.node AS plain, count(*) AS n FROM pp, ep WHERE round(ep.t - pp.t, 9) BETWEEN -0.01 AND 0.25 AND ep.a >= pp.h AND pp.a >= ep.h GROUP BY 1")
+@query("cross_sim_tol", f"WITH {BITS}, pp AS (SELECT node, max(sim) AS t, count(*) AS a, count(*) FILTER (sim >= 0.80) AS h FROM (SELECT src AS node, sim FROM ed UNION ALL SELECT dst, sim FROM ed) GROUP BY node), ep AS (SELECT node, max(sim) AS t, count(*) AS a, count(*) FILTER (sim >= 0.80) AS h FROM (SELECT src AS node, sim FROM fe UNION ALL SELECT dst, sim FROM fe) GROUP BY node) SELECT pp.node AS plain, count(*) AS n FROM pp, ep WHERE split_part(pp.node, ' ', -1) = split_part(ep.node, ' ', -1) AND round(ep.t - pp.t, 9) BETWEEN -0.01 AND 0.25 AND ep.a >= pp.h AND pp.a >= ep.h GROUP BY 1")
 def cross_sim_tol(spark, d):
     p, e = name_edges(spark, d), bit_edges(spark, d)
-    nodes = blocking.one_block(name_values(spark, d), "node")
+    nodes = name_values(spark, d).select(F.element_at(F.split("node", " "), -1).alias("block"), "node")  # by brand
     pairs = blocking.cross_pairs(nodes, nodes, "node", "node")
     return blocking.edge_tolerant(pairs, p, e, 0.75).groupBy("plain").agg(F.count("*").alias("n"))
 
@@ -654,14 +654,15 @@ def match_random(spark, d):
 
 
 def judged(spark, d) -> DataFrame:
-    """Encoded names matched with the names of the same brand that share their first word; the truth is the name."""
-    p = plain(spark, d).select("rec_id", "a0", "a2")
-    e = p.where("cast(rec_id as long) % 20 = 0").select(F.col("rec_id").alias("enc"), F.col("a0").alias("truth"), F.split("a0", " ")[0].alias("w"), F.col("a2").alias("brand"))
-    q = p.where("cast(rec_id as long) % 3 = 0").select(F.col("a0").alias("plain"), F.split("a0", " ")[0].alias("w"), F.col("a2").alias("brand")).distinct()
-    return e.join(q, ["w", "brand"]).select("enc", "truth", F.concat_ws("/", "plain", "brand").alias("plain"), F.concat_ws("/", "truth", "brand").alias("t")).select("enc", "plain", F.col("t").alias("truth"))
+    """Every record matched with the most frequent names (all of several) of its brand that share its first word; the truth is its own name."""
+    p = plain(spark, d).select("rec_id", "a0", "a2", F.split("a0", " ")[0].alias("w"))
+    names = p.groupBy("w", "a2", "a0").agg(F.count("*").alias("n"))
+    most = names.groupBy("w", "a2").agg(F.max("n").alias("n"))
+    guess = names.join(most, ["w", "a2", "n"]).select("w", "a2", F.concat_ws("/", "a0", "a2").alias("plain"))
+    return p.join(guess, ["w", "a2"]).select(F.col("rec_id").alias("enc"), "plain", F.concat_ws("/", "a0", "a2").alias("truth"))
 
 
-JD = f"{P}, jd AS (SELECT DISTINCT x.rec_id AS enc, y.plain || '/' || y.brand AS plain, x.a0 || '/' || x.a2 AS truth FROM (SELECT *, split_part(a0, ' ', 1) AS w FROM p WHERE p_partkey % 20 = 0) x JOIN (SELECT DISTINCT a0 AS plain, split_part(a0, ' ', 1) AS w, a2 AS brand FROM p WHERE p_partkey % 3 = 0) y ON x.w = y.w AND x.a2 = y.brand)"
+JD = f"{P}, px AS (SELECT *, split_part(a0, ' ', 1) AS w FROM p), gs AS (SELECT a0, a2, w FROM (SELECT a0, a2, w, rank() OVER (PARTITION BY w, a2 ORDER BY count(*) DESC) AS r FROM px GROUP BY a0, a2, w) WHERE r = 1), jd AS (SELECT x.rec_id AS enc, y.a0 || '/' || y.a2 AS plain, x.a0 || '/' || x.a2 AS truth FROM px x JOIN gs y ON x.w = y.w AND x.a2 = y.a2)"
 
 
 @query("reident_classes", f"WITH RECURSIVE {JD}, lk AS (SELECT 'e' || enc AS a, 'p' || plain AS b FROM jd UNION SELECT 'p' || plain, 'e' || enc FROM jd), cc AS (SELECT a AS node, a AS reach FROM lk UNION SELECT cc.node, lk.b FROM cc JOIN lk ON lk.a = cc.reach), co AS (SELECT node, min(reach) AS k FROM cc GROUP BY node), pl AS (SELECT DISTINCT k, plain, enc, truth FROM jd JOIN co ON co.node = 'e' || enc), rt AS (SELECT k, enc, bool_or(truth IN (SELECT plain FROM pl z WHERE z.k = pl.k)) AS ok FROM pl GROUP BY k, enc), sz AS (SELECT k, count(DISTINCT enc) AS e, count(DISTINCT plain) AS p FROM pl GROUP BY k), gd AS (SELECT k, count(*) AS n, count(*) FILTER (ok) AS c FROM rt GROUP BY k) SELECT CASE WHEN e = 1 THEN '1' ELSE 'm' END || '-' || CASE WHEN p = 1 THEN '1' ELSE 'm' END || CASE WHEN c = n THEN '' WHEN c > 0 THEN '-p' ELSE '-w' END AS class, count(*) AS components FROM sz JOIN gd USING (k) GROUP BY 1")
@@ -694,7 +695,7 @@ def graph_analysis(spark, d):
     rows = plain(spark, d).withColumn("value", F.concat_ws(" ", "a0", "a2"))
     e = encoders.Encoding(("a0", "a2"), Q, False, L, 4)
     p = pipelines.GraphParams(e, 0.7, (0.75, 0.85), 3, 200, 20, 20, 0.8, weights=((1.0, 0.0, 0.0),), matchers=("symmetric",))
-    return pipelines.graph_analysis(rows.where("cast(rec_id as long) % 2 = 0"), rows, p)
+    return pipelines.graph_analysis(rows, rows, p)
 
 
 # -- scale
