@@ -63,7 +63,7 @@ class PieceEncoder:
     cache of that size; other new pieces go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
