@@ -216,16 +216,21 @@ def near_duplicates(
         raise ValueError("the ten tables are complete up to a radius of 3")
     with small_batches(docs.sparkSession):
         marked = materialize(fingerprints(docs, key, text, width), "fingerprints")
-    fps = materialize(marked.groupBy("fp").agg(F.min(key).alias("__first")), "distinct-fingerprints")
+    fps = materialize(marked.groupBy("fp").agg(F.min(key).alias("__first"), F.count("*").alias("__rows")), "distinct-fingerprints")
     found = materialize(links(cells(fps.select("fp"), block), radius), "links")
     comps = materialize(connected_components(found), "components")
     members = fps.join(comps, F.col("fp") == F.col("node")).select("fp", "component", "__first")
     firsts = members.groupBy(F.col("component").alias("__c")).agg(F.min("__first").alias("__least"))
     mapped = members.join(firsts, F.col("component") == F.col("__c")).select(F.col("fp").alias("__fp"), "__least")
-    named = fps.join(mapped, F.col("fp") == F.col("__fp"), "left").select(
-        F.col("fp").alias("__f"), F.when(F.col("__fp").isNull(), F.col("__first")).otherwise(F.col("__least")).alias("component_id")
-    )
-    return marked.join(named, F.col("fp") == F.col("__f"), "left").select(key, "fp", "component_id")
+    least = F.when(F.col("__fp").isNull(), F.col("__first")).otherwise(F.col("__least"))
+    named = fps.join(mapped, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__f"), least.alias("component_id"), "__rows")
+    named = materialize(named, "named-fingerprints")
+    # fingerprints of over a thousandth of all rows are fewer than a thousand: they are broadcast, and no task gets one of them whole
+    many = marked.count() / 1000
+    hot = F.broadcast(named.where(F.col("__rows") > many))
+    of_hot = marked.join(hot, F.col("fp") == F.col("__f"))
+    rest = marked.join(hot.select("__f"), F.col("fp") == F.col("__f"), "left_anti").join(named.where(F.col("__rows") <= many), F.col("fp") == F.col("__f"), "left")
+    return of_hot.select(key, "fp", "component_id").unionByName(rest.select(key, "fp", "component_id"))
 
 
 def fingerprint_hex(fp: Column) -> Column:
