@@ -8,7 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: In Java, where \s is \x20 and \x09-\x0D alone. (The same class written out and negated is several times slower.)
+SPACED_WORD = r"\S+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

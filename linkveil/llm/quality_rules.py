@@ -13,6 +13,7 @@ rules alone decide; repeated rows and tied values are treated alike; other colum
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,10 +48,10 @@ class Rule:
 
     conditions: list[tuple[str, str, float]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, of: Callable[[str], Column] = F.col) -> Column:
         out = F.lit(True)
         for name, op, at in self.conditions:
-            out = out & (F.col(name) > F.lit(at) if op == ">" else F.col(name) <= F.lit(at))
+            out = out & (of(name) > F.lit(at) if op == ">" else of(name) <= F.lit(at))
         return out
 
     def __str__(self) -> str:
@@ -92,43 +93,44 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     )
 
 
+def statistics_of(text: Column) -> Column:
+    """A struct of the BASE counts and STATISTICS of a text. It is one expression in which nothing is evaluated twice, however
+    often the optimizer copies a reference to a part of it."""
+
+    def derived(c: Column) -> Column:
+        per_word = lambda x: F.when(c["n_words"] > 0, c[x] / c["n_words"]).otherwise(F.lit(0.0))
+        of = {
+            "s_words": c["n_words"].cast("double"), "s_word_len": per_word("word_chars"), "s_symbols": per_word("n_symbols"), "s_dup_lines": per_word("n_dup_lines"),
+            "s_repeats": per_word("n_repeat_words"), "s_distinct": per_word("distinct"), "s_upper": per_word("upper"), "s_digits": per_word("digits"),
+            "s_bars": per_word("bars"), "s_marks": per_word("marks"),
+        }
+        return F.struct(*[c[n].alias(n) for n in BASE], *[of[n].alias(n) for n in STATISTICS])
+
+    def counted(t: Column, w: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(SPACED_WORD))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            count_of(t, r"[#*$%&|<>]").alias("n_symbols"),
+            let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
+            repeated_words(w).alias("n_repeat_words"),
+            F.size(F.array_distinct(w)).alias("distinct"),
+            count_of(t, r"[A-Z]").alias("upper"),
+            count_of(t, r"[0-9]").alias("digits"),
+            count_of(t, r"[|]").alias("bars"),
+            count_of(t, r"[!?.,;:]").alias("marks"),
+        )
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(find_all(t, SPACED_WORD), lambda w: let(counted(t, w), derived)))
+
+
 def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, the BASE counts and STATISTICS of every whole text."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    lines = lambda c: F.filter(F.split(c, "\n"), lambda x: x.rlike(SPACED_WORD))
-    split = docs.select(*keep, body.alias("__t"), find_all(F.col(text), SPACED_WORD).alias("__w"))
-    counted = split.select(
-        *keep,
-        F.size("__w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        count_of(F.col("__t"), r"[#*$%&|<>]").alias("n_symbols"),
-        let(lines(F.col("__t")), lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w")).alias("n_repeat_words"),
-        F.size(F.array_distinct("__w")).alias("__distinct"),
-        count_of(F.col("__t"), r"[A-Z]").alias("__upper"),
-        count_of(F.col("__t"), r"[0-9]").alias("__digits"),
-        count_of(F.col("__t"), r"[|]").alias("__bars"),
-        count_of(F.col("__t"), r"[!?.,;:]").alias("__marks"),
-    )
-    per_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(F.lit(0.0))
-    return counted.select(
-        *keep,
-        *BASE,
-        F.col("n_words").cast("double").alias("s_words"),
-        per_word("word_chars").alias("s_word_len"),
-        per_word("n_symbols").alias("s_symbols"),
-        per_word("n_dup_lines").alias("s_dup_lines"),
-        per_word("n_repeat_words").alias("s_repeats"),
-        per_word("__distinct").alias("s_distinct"),
-        per_word("__upper").alias("s_upper"),
-        per_word("__digits").alias("s_digits"),
-        per_word("__bars").alias("s_bars"),
-        per_word("__marks").alias("s_marks"),
-    )
+    return docs.select(*keep, statistics_of(F.col(text)).alias("__s")).select(*keep, *[F.col("__s")[n].alias(n) for n in (*BASE, *STATISTICS)])
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
 
 def _gain(p: int, n: int, p0: int, n0: int) -> float:
@@ -217,11 +219,11 @@ def learn_rules(labelled: DataFrame, params: RuleParams | None = None) -> list[R
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """The list as an ordered CASE expression: true where the document stays."""
-    out = F.when(base_failed(), F.lit(False))
+def verdict(rules: list[Rule], of: Callable[[str], Column] = F.col) -> Column:
+    """The list as an ordered CASE expression over statistics: true where the document stays."""
+    out = F.when(base_failed(of), F.lit(False))
     for rule in rules:
-        out = out.when(rule.column(), F.lit(False))
+        out = out.when(rule.column(of), F.lit(False))
     return out.otherwise(F.lit(True))
 
 
@@ -262,7 +264,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep, with the columns of docs."""
     rated = rated_rows(table(spark, sf_dir, "labels"), RuleParams())
     few = docs.select("doc_id", "text").join(F.broadcast(rated), F.col("doc_id") == F.col("__id"))  # max_fit_rows bounds it
-    rules = fit_rules(text_statistics(few, keep=("doc_id", "__q")))
-    names = docs.columns
-    judged = text_statistics(docs.select(F.struct(*names).alias("__row"), F.col("text").alias("__text")), "__text", ("__row",))
-    return judged.where(verdict(rules)).select(*[F.col("__row")[c].alias(c) for c in names])
+    rules = fit_rules(materialize(text_statistics(few, keep=("doc_id", "__q")), "rated-statistics"))
+    return docs.where(let(statistics_of(F.col("text")), lambda s: verdict(rules, lambda name: s[name])))
