@@ -26,6 +26,8 @@ from linkveil.session import materialize
 MAX_LEN = 4096
 BUCKETS = 12
 BUDGET = 65_536
+#: Pieces and words that a worker keeps: few, for workers live on through the stages of a pipeline.
+KEPT = 200_000
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,7 +35,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_
     at = tokenizer or tokenizer_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(at).encode
+        encode = encoder(at, KEPT).encode
         for b in batches:
             n = np.fromiter((len(encode(t.as_py())) // 4 + 1 for t in b.column(1)), dtype=np.int64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[key, "n_tokens"])

@@ -110,9 +110,9 @@ class PieceEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
-    """One per worker process."""
-    return PieceEncoder(path)
+def encoder(path: str, most: int = 1_000_000) -> PieceEncoder:
+    """One per worker process and size."""
+    return PieceEncoder(path, most)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
