@@ -27,7 +27,7 @@ MAX_LEN = 4096
 BUCKETS = 12
 BUDGET = 65_536
 #: Pieces and words that a worker keeps: few, for workers live on through the stages of a pipeline.
-KEPT = 200_000
+KEPT = 400_000
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
