@@ -2,7 +2,8 @@
 
 Apriori runs level by level as DataFrames. The maximal search packs the distinct filters, restricted to frequent
 positions, into weighted patterns on the driver and walks them depth first with bit vectors; the number of patterns is
-checked first, and beyond the bound the level-wise plan is used instead.
+checked first. Beyond the bounds of either, supports are counted by DataFrame jobs, depth first, until the rows of a
+head are few enough patterns for the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from linkveil.operators import statistics
 from linkveil.session import materialize
 
-#: Distinct restricted patterns that the driver takes at most.
+#: Distinct restricted patterns, and item sets of a level, that the driver takes at most.
 MOST_PATTERNS = 200_000
 
 
@@ -35,39 +36,39 @@ def frequent_positions(encoded: DataFrame, least: int, excluded: Iterable[int] =
     return rows.groupBy("pos").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def apriori(encoded: DataFrame, least: int, excluded: Iterable[int] = (), bits: str = "bits", longest: int = 64) -> DataFrame:
+def apriori(encoded: DataFrame, least: int, excluded: Iterable[int] = (), bits: str = "bits") -> DataFrame:
     """M1, M2: (items, n): every longest frequent position tuple with its support.
 
-    Candidates of a level join on their common prefix and are counted with one broadcast of the candidates, whose number is
-    checked; the table of restricted filters is read once per level.
+    Candidates of a level join on their common prefix and are counted with one broadcast of the candidates; the table of
+    restricted filters is read once per level. A level with more candidates than MOST_PATTERNS goes to deep_search.
     """
     spark = encoded.sparkSession
     singles = [(r["pos"], r["n"]) for r in frequent_positions(encoded, least, excluded, bits).collect()]  # at most the filter's length
     if not singles:
         return spark.createDataFrame([], "items array<int>, n long")
     known = sorted(p for p, _ in singles)
-    own = F.array_intersect(F.array_sort(bits), F.array(*map(F.lit, known)))
-    rows = materialize(encoded.select(own.alias("own")).where(F.size("own") > 1).groupBy("own").agg(F.count("*").alias("w")), "restricted")
+    rows = restricted(encoded, known, bits)
     level = {(p,): n for p, n in singles}
     while level:
         size = len(next(iter(level)))
         items = sorted(level)
-        if size >= longest or len(items) > MOST_PATTERNS:
-            break
         new = []
         for i, a in enumerate(items):
             for b in items[i + 1 :]:
-                if a[:-1] != b[:-1]:
+                if a[:-1] != b[:-1] or len(new) > MOST_PATTERNS:
                     break
                 c = (*a, b[-1])
                 if all(c[:k] + c[k + 1 :] in level for k in range(size - 1)):
                     new.append(c)
         if not new:
             break
+        if len(new) > MOST_PATTERNS:
+            level = deep_search(rows, known, least)
+            break
         table = spark.createDataFrame([(list(c), c[0]) for c in new], "items array<int>, head int")
         got = (
             rows.select("own", "w", F.explode("own").alias("head"))
-            .join(F.broadcast(table) if len(new) <= MOST_PATTERNS else table, "head")
+            .join(F.broadcast(table), "head")
             .where(F.size(F.array_intersect("own", "items")) == size + 1)
             .groupBy("items")
             .agg(F.sum("w").alias("n"))
@@ -80,10 +81,66 @@ def apriori(encoded: DataFrame, least: int, excluded: Iterable[int] = (), bits:
     return spark.createDataFrame([(list(k), int(v)) for k, v in sorted(level.items())], "items array<int>, n long")
 
 
+def restricted(encoded: DataFrame, positions: list[int], bits: str = "bits") -> DataFrame:
+    """(own, w): the distinct filters restricted to positions, with the number of their rows, as a table."""
+    own = F.array_intersect(F.array_sort(bits), F.array(*map(F.lit, positions)))
+    return materialize(encoded.select(own.alias("own")).where(F.size("own") > 0).groupBy("own").agg(F.count("*").alias("w")), "restricted")
+
+
+def deep_search(rows: DataFrame, positions: list[int], least: int) -> dict[tuple[int, ...], int]:
+    """Every longest frequent tuple of (own, w) rows, depth first, at any number of patterns and any length.
+
+    A head's supports are counted by jobs over the rows that hold it; once these are at most MOST_PATTERNS patterns, the
+    driver walks them. Heads that cannot reach the longest length found are left out.
+    """
+    found: dict[tuple[int, ...], int] = {}
+
+    def add(items: list[int], n: int) -> None:
+        most = max(map(len, found), default=0)
+        if len(items) > most:
+            found.clear()
+        if len(items) >= most:
+            found[tuple(sorted(items))] = n
+
+    def walk(head: list[int], n: int, tail: list[int]) -> None:
+        held = rows.where(with_all(F.col("own"), head))
+        counts = held.select(F.explode(F.array_intersect("own", F.array(*map(F.lit, tail)).cast("array<int>"))).alias("pos"), "w").groupBy("pos").agg(F.sum("w").alias("n"))
+        inside = sorted((r["n"], r["pos"]) for r in counts.where(F.col("n") >= least).collect())  # at most the filter's length
+        rest = [p for _, p in inside]
+        if len(head) + len(rest) < max(map(len, found), default=0):
+            return
+        if not rest:
+            if head:
+                add(head, n)
+            return
+        own = held.select(F.array_intersect("own", F.array(*map(F.lit, rest))).alias("own"), "w").where(F.size("own") > 0)
+        whole = own.where(F.size("own") == len(rest)).agg(F.sum("w")).first()[0] or 0
+        if whole >= least:
+            add(head + rest, whole)
+            return
+        try:
+            table, weight = packed(own.groupBy("own").agg(F.sum("w").alias("w")), rest)
+        except OverflowError:
+            for k, (m, p) in enumerate(inside):
+                if len(head) + len(rest) - k >= max(map(len, found), default=0):
+                    walk([*head, p], m, rest[k + 1 :])
+        else:
+            for items, m in maximal_tuples(table, weight, rest, least).items():
+                add([*head, *items], m)
+
+    walk([], 0, positions)
+    return found
+
+
 def patterns_of(encoded: DataFrame, positions: list[int], bits: str = "bits") -> tuple[np.ndarray, np.ndarray]:
     """Distinct filters restricted to positions: (positions x patterns) bits and the weight of each pattern."""
     own = F.array_intersect(F.array_sort(bits), F.array(*map(F.lit, positions)))
-    got = encoded.select(own.alias("own")).groupBy("own").agg(F.count("*").alias("w")).limit(MOST_PATTERNS + 1).collect()
+    return packed(encoded.select(own.alias("own")).groupBy("own").agg(F.count("*").alias("w")), positions)
+
+
+def packed(patterns: DataFrame, positions: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (own, w) as (positions x patterns) bits and the weight of each pattern."""
+    got = patterns.limit(MOST_PATTERNS + 1).collect()
     if len(got) > MOST_PATTERNS:
         raise OverflowError("too many distinct patterns for the driver")
     at = {p: k for k, p in enumerate(positions)}
@@ -140,7 +197,7 @@ def longest_tuples(encoded: DataFrame, least: int, excluded: Iterable[int] = (),
     try:
         table, weight = patterns_of(encoded, positions, bits)
     except OverflowError:
-        return longest_tuples(encoded, least, excluded, bits, "apriori")
+        return deep_search(restricted(encoded, positions, bits), positions, least)
     found = maximal_tuples(table, weight, positions, least)
     most = max(map(len, found), default=0)
     return {k: n for k, n in found.items() if len(k) == most}

@@ -79,6 +79,20 @@ def test_miners_agree_with_brute_force(spark, seed):
         assert mining.longest_tuples(df, least, excluded, method=method) == best
 
 
+@pytest.mark.parametrize("method", ("maximal", "apriori"))
+def test_miners_go_on_beyond_the_bound(spark, monkeypatch, method):
+    rng = np.random.default_rng(7)
+    table = rng.random((150, 12)) < rng.uniform(0.5, 0.9, 12)
+    df = spark.createDataFrame([(i, [int(p) for p in np.flatnonzero(r)]) for i, r in enumerate(table)], "rec_id long, bits array<int>")
+    want = mining.longest_tuples(df, 40)
+    assert max(map(len, want)) >= 4
+    monkeypatch.setattr(mining, "MOST_PATTERNS", 20)
+    assert mining.longest_tuples(df, 40, method=method) == want
+    # longer than 64, with each level but the first beyond the bound
+    long = spark.createDataFrame([(i, [*range(70), 70 + i]) for i in range(30)], "rec_id long, bits array<int>")
+    assert mining.longest_tuples(long, 30, method=method) == {tuple(range(70)): 30}
+
+
 def test_maximal_only(spark):
     sets = spark.createDataFrame([([1],), ([2],), ([1, 2],), ([3],), ([2, 4],), ([4],)], "items array<int>")
     assert sorted(r["items"] for r in mining.maximal_only(sets).collect()) == [[1, 2], [2, 4], [3]]
