@@ -4,7 +4,7 @@ Training gathers, from labelled texts, how many texts of each language hold each
 put into the filters of the languages for which it is characteristic: its share of that language's texts is at least
 `floor`, and at least `near` of its share in the language where it is most common. The filters of all languages lie in one
 table, sliced by bits: entry p is a bitmask of the languages whose filter has bit p set, so that the AND of k entries
-gives all languages that (probably) contain an n-gram at once. A text's n-grams are looked up, hits are counted per language,
+gives all languages that (probably) contain an n-gram at once; beyond 64 languages an entry has a word for every 64. A text's n-grams are looked up, hits are counted per language,
 each count is corrected for that filter's false positives, and the language with the most hits is taken.
 
 Edge cases: a null text or one without a letter is `und` with score 0; null languages are not learned from; ties go to
@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkveil.llm.common import small_batches, table
@@ -79,7 +79,7 @@ class Filters:
     """The bit-sliced table and what it takes to read it."""
 
     languages: list[str]
-    sliced: np.ndarray  # 2 ** TABLE_BITS masks of languages
+    sliced: np.ndarray  # 2 ** TABLE_BITS masks of languages; (words, 2 ** TABLE_BITS) beyond 64 languages
     false: np.ndarray  # per language: the chance that an n-gram outside is reported
     common: int = 0  # the most common language
     orders: tuple[int, ...] = field(default=ORDERS)
@@ -88,7 +88,7 @@ class Filters:
         """For each n-gram the languages that its k bits have in common."""
         out = None
         for k in range(HASHES):
-            found = self.sliced[(h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)]
+            found = self.sliced[..., (h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)]
             out = found if out is None else out & found
         return out
 
@@ -100,13 +100,14 @@ class Filters:
         code, starts = cleaned([texts[i] for i in known])
         hits, n_grams = np.zeros((len(known), len(self.languages))), np.zeros(len(known))
         for n, h in hashed(code, self.orders):
-            masks = np.zeros(len(code), self.sliced.dtype)
-            masks[: len(h)] = self.masks(h)
+            masks = np.zeros((*self.sliced.shape[:-1], len(code)), self.sliced.dtype)
+            masks[..., : len(h)] = self.masks(h)
             for back in range(1, n):
-                masks[starts[1:] - back] = 0  # these would cross into the next text
+                masks[..., starts[1:] - back] = 0  # these would cross into the next text
             n_grams += np.maximum(np.diff(starts) - n + 1, 0)
+            words = np.atleast_2d(masks)
             for k in range(len(self.languages)):
-                own = (masks >> masks.dtype.type(k)) & masks.dtype.type(1)
+                own = (words[k // 64] >> masks.dtype.type(k % 64)) & masks.dtype.type(1)
                 hits[:, k] += np.add.reduceat(own, starts[:-1], dtype=np.int64)
         true = np.maximum(hits - n_grams[:, None] * self.false, 0) / (1 - self.false)
         best = np.where(true.max(axis=1) > 0, true.argmax(axis=1), self.common)
@@ -134,52 +135,63 @@ def _text_counts(rows: DataFrame, orders: tuple[int, ...]) -> DataFrame:
 
 
 def fit(docs: DataFrame, params: Params | None = None, max_train: int = MAX_TRAIN) -> Filters:
-    """Filters learned from (text, lang) of docs; at most about max_train texts, taken by a hash of the text."""
+    """Filters learned from (text, lang) of docs; at most about max_train texts, taken by a hash of the text.
+
+    Every language that is not null is learned: the bound is shared out evenly, and at least one text of each is taken.
+    """
     params = params or Params()
     rows = docs.select("lang", "text").where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    if not sizes:
+    order = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000))
+    kinds = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("least")).collect()
+    if not kinds:
         return Filters([], np.zeros(1, np.uint64), np.zeros(0))
-    rows = rows.where(F.col("lang").isin(list(sizes)))
+    sizes = {r["lang"]: r["n"] for r in kinds}
     # the bound is shared out evenly: rare languages are taken whole
     each = max(1, max_train // len(sizes))
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, each / n))])
-    taken = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1e6)
-    taken = taken.dropDuplicates(["lang", "text"])
+    below = [(r["lang"], max(min(1.0, each / r["n"]) * 1e6, r["least"] + 1.0)) for r in kinds]
+    shares = docs.sparkSession.createDataFrame(below, "lang string, below double")
+    taken = rows.join(F.broadcast(shares), "lang").where(order < F.col("below")).select("lang", "text").dropDuplicates(["lang", "text"])
     languages = sorted(sizes)
     with small_batches(docs.sparkSession):
         counts = materialize(_text_counts(taken, params.orders), "gram-counts")
     # every text with a letter holds the blank, so the largest count of a language is its number of texts
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.max("n").alias("n")).collect()}
-    total = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, float(n))]) if totals else F.lit(None)
-    if not totals:
-        return Filters([], np.zeros(1, np.uint64), np.zeros(0))
-    rated = counts.select("gram", "lang", (F.col("n") / F.element_at(total, F.col("lang"))).alias("p"))
+    totals = counts.groupBy("lang").agg(F.max("n").alias("total"))
+    rated = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("p"))
     tops = rated.where(F.col("p") >= params.floor).groupBy("gram").agg(F.collect_list(F.struct("lang", "p")).alias("of"), F.max("p").alias("top"))
     # n-grams at home everywhere tell nothing; of the rest the most common are kept
-    chosen = (
-        tops.select("gram", "top", F.filter("of", lambda x: x["p"] >= params.near * F.col("top"))["lang"].alias("langs"))
-        .where(F.size("langs") < F.greatest(F.lit(2), F.lit(len(languages))))
-        .orderBy(F.desc("top"), "gram")
-        .limit(params.most_grams)
-        .collect()
+    telling = tops.select("gram", "top", F.filter("of", lambda x: x["p"] >= params.near * F.col("top"))["lang"].alias("langs")).where(
+        F.size("langs") < F.greatest(F.lit(2), F.lit(len(languages)))
     )
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    sliced = np.zeros(1 << TABLE_BITS, kind)  # as narrow as the languages allow: it should stay in a core's cache
-    bit = {name: kind(1 << k) for k, name in enumerate(languages)}
+    chosen = telling.orderBy(F.desc("top"), "gram").limit(params.most_grams).collect()
+    if len(languages) > 64:  # the many n-grams of some must not leave others without any: each has as many again as its share
+        telling = materialize(telling, "telling-grams")
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("top"), "gram"))
+        own = telling.select("gram", "top", F.explode("langs").alias("lang")).withColumn("nth", nth)
+        own = own.where(F.col("nth") <= max(1, params.most_grams // len(languages))).select("gram").distinct()
+        chosen = [*chosen, *telling.join(own, "gram", "left_semi").select("gram", "top", "langs").collect()]
+    kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+    words = -(-len(languages) // 64)
+    sliced = np.zeros((words, 1 << TABLE_BITS), kind)  # as narrow as the languages allow: it should stay in a core's cache
+    at_word = {name: (k // 64, kind(1 << k % 64)) for k, name in enumerate(languages)}
     h = np.array([r["gram"] for r in chosen], dtype=np.int64).view(np.uint64)
-    mask = np.array([np.bitwise_or.reduce([bit[x] for x in r["langs"]]) for r in chosen], dtype=kind)
+    mask = np.zeros((words, len(chosen)), kind)
+    for i, r in enumerate(chosen):
+        for x in r["langs"]:
+            word, bit = at_word[x]
+            mask[word, i] |= bit
     for k in range(HASHES):
         at = (h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)
-        np.bitwise_or.at(sliced, at, mask)
-    filled = np.array([np.mean((sliced >> kind(k)) & kind(1)) for k in range(len(languages))])
+        for word in range(words):
+            np.bitwise_or.at(sliced[word], at, mask[word])
+    filled = np.array([np.mean((sliced[k // 64] >> kind(k % 64)) & kind(1)) for k in range(len(languages))])
+    sliced = sliced if words > 1 else sliced[0]
     common = languages.index(max(sizes, key=lambda x: (sizes[x], x)))
     return Filters(languages, sliced, filled**HASHES, common, params.orders)
 
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns, lang_pred and score of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** TABLE_BITS masks: 8 MB at most at any input size
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** TABLE_BITS masks: 8 MB for every 64 languages at any input size
     names = list(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,17 @@ def test_a_batch_predicts_like_its_texts_alone(spark):
         true = np.maximum(hits - len(h) * filters.false, 0) / (1 - filters.false)
         (name,), (s,) = filters.predict([t])
         assert filters.languages[int(true.argmax())] == name and abs(true.max() / true.sum() - s) < 1e-9
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    alphabets = {f"l{k:03d}": [chr(0x4E00 + 20 * k + i) for i in range(20)] for k in range(140)}
+    texts = {x: ["".join(a[(i * s + 3 * s) % 20] for i in range(30)) for s in range(1, 4)] for x, a in alphabets.items()}
+    rows = [(t, x) for x, own in texts.items() for t in own for _ in range(1 + (x < "l100"))] + [("abc", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    filters = q.fit(docs)
+    assert filters.languages == sorted(alphabets) and filters.sliced.shape == (3, 1 << q.TABLE_BITS)
+    for x, own in texts.items():
+        assert filters.predict(own)[0] == [x] * 3
+    # a bound of one text for each, and of few n-grams, leaves none out
+    small = q.fit(docs, q.Params(most_grams=280), max_train=1)
+    assert small.languages == sorted(alphabets) and (small.false > 0).all()
