@@ -250,13 +250,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if odd.isEmpty():
         gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
         return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*names)
-    lead = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.join(lead, docs["doc_id"] == lead["__id"], "left_semi").dropDuplicates(["doc_id"]).select(*names)
-    # components without any id: their texts are few kinds; one row of each component stays
-    bare = docs.where("doc_id is null").select(*names, F.monotonically_increasing_id().alias("__n"))
-    bare = materialize(bare, "rows-without-id")
-    of = near_duplicates(bare.select("__n", "text"), key="__n").select(F.col("__n").alias("__m"), "fp", F.col("component_id").alias("__c"))
-    named = groups.where("component_id is not null").select(F.col("fp").alias("__fp")).distinct()
-    alone = of.join(named, of["fp"] == named["__fp"], "left_anti").where("__m = __c").select("__m")
-    rest = bare.join(alone, bare["__n"] == alone["__m"], "left_semi").select(*names)
-    return first.unionByName(rest)
+    # an id of several rows names several components, or none: rows are told apart by a number of their own
+    rows = materialize(docs.select(*names, F.monotonically_increasing_id().alias("__n")), "numbered-rows")
+    of = near_duplicates(rows.select("__n", "text"), key="__n").select(F.col("__n").alias("__m"), "fp", "component_id")
+    own = rows.select("__n", "doc_id").join(of, F.col("__n") == F.col("__m"))
+    first = own.groupBy("component_id").agg(F.min_by("__n", F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "__n")).alias("__first"))
+    return rows.join(first, F.col("__n") == F.col("__first"), "left_semi").select(*names)

@@ -105,3 +105,12 @@ def test_stage_keeps_one_of_each_group(spark):
     ids = [r.doc_id for r in odd.collect()]
     assert len(ids) == len(set(ids)) and 5 in ids and 6 not in ids and None in ids
     assert q.stage(spark, c.empty(spark), c.SF).count() == 0
+
+
+def test_stage_keeps_one_of_each_group_where_ids_repeat(spark):
+    a, b, d, e = ("".join(f"{x}{i} " for i in range(40)) for x in "abde")
+    rows = [(1, a), (1, b), (2, b), (3, b), (3, d), (4, d), (4, d), (5, a), (None, e), (None, e), (None, d)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    out = q.stage(spark, docs, c.SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, a), (1, b), (3, d), (0, e)])
