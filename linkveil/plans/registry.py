@@ -611,11 +611,19 @@ def norm01(spark, d):
 
 
 def bipartite(spark, d) -> DataFrame:
-    """Matches between the names and their filters: every edge of the filters, either way, and each value with itself."""
+    """Matches between the names and their filters as in MT: every edge of the filters, from its first value to its second alone."""
     e = bit_edges(spark, d)
     return e.where("sim >= 0.8").select(F.col("src").alias("plain"), F.col("dst").alias("enc"), F.col("sim").alias("cos"))
 
 
+def scored_both_ways(spark, d) -> DataFrame:
+    """All matches between the names and their filters: every edge of the filters, either way, and each value with itself."""
+    one = scored(spark, d)
+    back = one.select(F.col("enc").alias("plain"), F.col("plain").alias("enc"), "score")
+    same = name_values(spark, d).select(F.col("node").alias("plain"), F.col("node").alias("enc"), F.lit(1.0).alias("score"))
+    return one.unionByName(back).unionByName(same)
+
+
 MT = f"{BITS}, mt AS (SELECT src AS plain, dst AS enc, sim AS cos FROM fe WHERE sim >= 0.8)"
 CF = f"{MT}, pa AS (SELECT plain, sum(cos) AS ps, count(*) AS pn FROM mt GROUP BY plain), ea AS (SELECT enc, sum(cos) AS es, count(*) AS en FROM mt GROUP BY enc), rw AS (SELECT plain, enc, cos, CASE WHEN pn + en > 2 THEN cos / ((ps + es - 2 * cos) / (pn + en - 2)) ELSE cos / ((SELECT min(cos) FROM mt) - 0.1) END AS s, 1.0 / (pn + en - 1) AS d FROM mt JOIN pa USING (plain) JOIN ea USING (enc)), bd AS (SELECT min(s) AS s0, max(s) AS s1, min(d) AS d0, max(d) AS d1 FROM rw)"
 
@@ -637,17 +645,17 @@ def match_symmetric(spark, d):
 
 @query("match_greedy")
 def match_greedy(spark, d):
-    return matching.greedy(scored(spark, d)).select("plain", "enc")
+    return matching.greedy(scored_both_ways(spark, d)).select("plain", "enc")
 
 
 @query("match_hungarian")
 def match_hungarian(spark, d):
-    return matching.hungarian(scored(spark, d)).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
+    return matching.hungarian(scored_both_ways(spark, d)).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
 
 
 @query("match_random")
 def match_random(spark, d):
-    return matching.random_matching(scored(spark, d)).select("plain", "enc")
+    return matching.random_matching(scored_both_ways(spark, d)).select("plain", "enc")
 
 
 # -- evaluation
