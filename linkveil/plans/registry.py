@@ -514,7 +514,7 @@ def minhash_block(spark, d):
 @query("hlsh_block")
 def hlsh_block(spark, d):
     e = encoders.encode(plain(spark, d), E_NAME)
-    return blocking.hamming_blocks(e, "rec_id", "bits", L, 8, 100).groupBy("block").agg(F.count("*").alias("n"))
+    return blocking.hamming_blocks(e, "rec_id", "bits", L, 20, L // 10).groupBy("block").agg(F.count("*").alias("n"))
 
 
 NV = f"{P}, nv AS (SELECT DISTINCT a0 || ' ' || a2 AS node FROM p), ng AS (SELECT node, unnest(list_distinct({grams_sql('node')})) AS gram FROM nv), nn AS (SELECT node, count(*) AS n FROM ng GROUP BY node)"

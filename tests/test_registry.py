@@ -15,3 +15,8 @@ def test_matchers_are_offered_both_ways_and_the_truth(spark):
     assert (best.n, best.score) == (len(values), len(values))
     pairs = [(r.plain, r.enc) for r in registry.match_random(spark, SF).collect()]
     assert {p for p, _ in pairs} | {e for _, e in pairs} == values
+
+
+def test_hlsh_block_takes_twenty_samples(spark):
+    records = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert sum(r.n for r in registry.hlsh_block(spark, SF).collect()) == 20 * records
