@@ -139,6 +139,9 @@ def confident_removal(matches: DataFrame, most_rounds: int = 200) -> DataFrame:
         now = materialize(best_for_both(scored), "matched")
         done = now if done is None else done.unionByName(now)
         left = materialize(left.join(now.select("plain"), "plain", "left_anti").join(now.select("enc"), "enc", "left_anti").select("plain", "enc", "raw"), "open-matches")
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"not settled in {most_rounds} rounds")
     return done if done is not None else left.withColumnRenamed("raw", "score")
 
 

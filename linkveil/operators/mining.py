@@ -242,8 +242,11 @@ def difference_percent(n1: int, n2: int) -> float:
     return 100.0 * (n1 - n2) / mean if mean else 0.0
 
 
-def partition_search(plain: DataFrame, encoded: DataFrame, stop_percent: float = 1.0, least_part: int = 100, most_rounds: int = 200, method: str = "maximal") -> Found:
-    """M8. plain: rec_id, grams; encoded: rec_id, bits. Rows of a partition are a predicate on bits, so a round reads the one table."""
+def partition_search(plain: DataFrame, encoded: DataFrame, stop_percent: float = 1.0, least_part: int = 100, most_rounds: int | None = None, method: str = "maximal") -> Found:
+    """M8. plain: rec_id, grams; encoded: rec_id, bits. Rows of a partition are a predicate on bits, so a round reads the one table.
+
+    It ends when no partition is left: a round that adds any takes a q-gram not taken before. Where most_rounds ends it before, stop_reason says so.
+    """
     encoded = materialize(encoded.select("rec_id", "bits"), "encoded")
     plain = materialize(plain.select("grams"), "plain")
     plain_n, whole = plain.count(), encoded.count()
@@ -251,9 +254,9 @@ def partition_search(plain: DataFrame, encoded: DataFrame, stop_percent: float =
     if not plain_n or not whole:
         out.stop_reason = "no rows"
         return out
-    queue = [(whole, frozenset(), F.lit(True), [], [])]
-    while queue and most_rounds:
-        most_rounds -= 1
+    queue, rounds = [(whole, frozenset(), F.lit(True), [], [])], 0
+    while queue and rounds != most_rounds:
+        rounds += 1
         queue.sort(key=lambda x: -x[0])
         size, excluded, mask, must, must_not = queue.pop(0)
         top = statistics.other_grams(plain, must, must_not).limit(2).collect()
@@ -281,7 +284,9 @@ def partition_search(plain: DataFrame, encoded: DataFrame, stop_percent: float =
             n = encoded.where(keep).count()
             if n >= least_part:
                 queue.append((n, excluded | set(items), keep, more, less))
-    if not out.tuples:
+    if queue:
+        out.stop_reason = f"partitions left after {rounds} rounds"
+    elif not out.tuples:
         out.stop_reason = "no frequent tuple is unique"
     return out
 

@@ -119,6 +119,22 @@ def test_partition_search_finds_true_positions(spark):
     assert more.stop_reason in ("done", "nothing to add")
 
 
+def test_rounds_that_end_early_say_so(spark):
+    from linkveil.operators import encoders
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, "".join(w for w, p in (("ab", 0.9), ("cd", 0.6), ("ef", 0.4)) if rng.random() < p) or "zz") for i in range(300)], "rec_id long, value string")
+    from linkveil.functions.columns import gram_set
+
+    plain = df.select("rec_id", gram_set(F.col("value"), 2).alias("grams"))
+    enc = encoders.encode(df, encoders.Encoding(("value",), 2, False, 256, 4)).select("rec_id", "bits")
+    assert mining.partition_search(plain, enc, 1.0, 20, most_rounds=1).stop_reason == "partitions left after 1 rounds"
+    matches = spark.createDataFrame([("p1", "e1", 0.9), ("p2", "e1", 0.5), ("p2", "e2", 0.1)], "plain string, enc string, score double")
+    with pytest.raises(RuntimeError):
+        matching.confident_removal(matches, 1)
+    assert {(r.plain, r.enc) for r in matching.confident_removal(matches).collect()} == {("p1", "e1"), ("p2", "e2")}
+
+
 def test_relational_division(spark):
     assigned = spark.createDataFrame([(1, ["ab", "cd"], ["ef"]), (2, ["ab"], []), (3, [], ["ab"])], "rec_id long, must array<string>, cannot array<string>")
     values = spark.createDataFrame([("abcd", ["ab", "bc", "cd"]), ("abcdef", ["ab", "bc", "cd", "de", "ef"]), ("xab", ["xa", "ab"])], "value string, grams array<string>")
