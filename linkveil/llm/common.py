@@ -41,15 +41,46 @@ def spread(n_bits: int, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 64 - n_bits)
 
 
-def sized(df: DataFrame, most: int) -> DataFrame:
-    """df marked for broadcast if it has at most `most` rows; else as it is, for a shuffled join that AQE may split."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Bytes that a broadcast side of rows without a fixed width may have.
+MOST_BYTES = 32 << 20
+
+
+def sized(df: DataFrame, most: int, row_bytes: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows; else as it is, for a shuffled join that AQE may split.
+
+    Rows that hold strings or arrays of any length need row_bytes, their size: they may have MOST_BYTES together.
+    """
+    if row_bytes is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if row["n"] <= most and row["b"] <= MOST_BYTES else df
+
+
+def before(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For every int of an array, `add` (associative) over the ints before it, from zero on.
+
+    Appending to an array copies it, so the array is cut into blocks of the square root of its size: a running total over
+    n ints copies n ** 1.5 of them, not n ** 2.
+    """
+    none = F.array().cast("array<int>")
+
+    def run(xs: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(add(acc["at"], x).cast("int").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(xs, F.struct(start.cast("int").alias("at"), none.alias("out")), step)["out"]
+
+    def blocks(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / width).cast("int") - 1), lambda k: F.slice(xs, k * width + 1, width))
+        total = lambda x: F.aggregate(x, zero.cast("int"), lambda a, v: add(a, v).cast("int"))
+        return let(cut, lambda c: F.flatten(F.zip_with(c, run(F.transform(c, total), zero), run)))
+
+    return let(values, lambda xs: F.when(F.size(xs) == 0, none).otherwise(blocks(xs)))
 
 
 def gapless(df: DataFrame, group: list[str], order: Column, ties: list[str], name: str = "slot", cell_rows: int = 50_000) -> DataFrame:
     """df with a number from 0 without gaps inside each group, by the 64-bit hash `order`, then ties.
 
-    df must be a table (it is read twice). Groups are cut into cells by the top bits of the hash, about cell_rows
+    df must be a table (it is read twice); names that begin with two underscores are the function's own. Groups are cut into cells by the top bits of the hash, about cell_rows
     rows each at any size; cells are numbered on their own and start where the cells before them end, so no group
     is gathered in one task.
     """
