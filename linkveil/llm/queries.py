@@ -17,4 +17,4 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 
-ORACLE: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op10_warc": warc.ORACLE}
+ORACLE: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE, "op8_secrets": secrets.ORACLE, "op10_warc": warc.ORACLE}
