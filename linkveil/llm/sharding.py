@@ -6,9 +6,16 @@ even k, with sizes as weights. Quantiles are exact: distributed histograms of 40
 one row is left in its bin. A value's low 40 bits are a hash of the document, so ties (a source that holds a third of all
 rows) are cut too. All nodes of a level share each pass; the tree ends at 16 leaves or where leaves reach the target.
 
+A cut is off by at most half the size of the one row at it, so a shard of 16 (four cuts) differs from the even share by
+less than the largest document. Equal texts are no groups to a k-d tree: the contract's "groups: equal texts" names what a
+method that keeps groups together would keep. Here copies are rows like any others and may part, so that a group of copies
+that holds a third of all rows is spread over shards as near to equal as any.
+
 Edge cases: null texts have no bytes (size 1); null metadata is a value of its own; null ids are told apart by row;
-repeated rows (equal id and text) fall into one shard; with fewer rows than shards some shards stay empty; an empty
-table gives an empty result; other columns are ignored.
+repeated rows (equal id and text) fall into one shard; tied values part by the hash; a very long text is one row of its
+size; with fewer rows than shards some shards stay empty; an empty table gives an empty result; other columns are ignored
+by `assign`; `write_shards` writes every row once, repeated ids or null ones too, and its own columns `shard` and `slot`:
+columns of docs of these names get `doc_` before theirs.
 """
 
 from __future__ import annotations
@@ -46,8 +53,8 @@ class Node:
         return [self] if self.dimension is None else self.left.leaves() + self.right.leaves()
 
 
-def metadata(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
-    """(key, size, text_crc32, one long per dimension): the value's 20 bits above 40 bits of hash."""
+def metadata(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """(key, keep columns, size, text_crc32, one long per dimension): the value's 20 bits above 40 bits of hash."""
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long") + 1
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
     row = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
@@ -55,7 +62,7 @@ def metadata(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     by = {f"d_{c}": spread(20, F.col(c)) for c in ("source", "lang") if c in docs.columns}
     by["d_length"] = F.least(F.floor(F.log2(size.cast("double")) * 32768), F.lit((1 << 20) - 1)).cast("long")
     dims = {n: F.shiftleft(v, TIE_BITS) + tie for n, v in by.items()}
-    return docs.select(key, size.alias("size"), crc.alias("text_crc32"), *[v.alias(n) for n, v in dims.items()]), list(dims)
+    return docs.select(key, *keep, size.alias("size"), crc.alias("text_crc32"), *[v.alias(n) for n, v in dims.items()]), list(dims)
 
 
 def _quantiles(rows: DataFrame, want: dict[int, tuple[str, float, int, int]]) -> dict[int, int]:
@@ -126,23 +133,35 @@ def grow(rows: DataFrame, dims: list[str], n_shards: int) -> Node:
     return root
 
 
-def assign(docs: DataFrame, n_shards: int | None = 16, target_bytes: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, size, text_crc32, shard, slot): into n_shards shards, or as many as leaves of target_bytes take."""
-    rows, dims = metadata(docs, key, text)
+def assign(
+    docs: DataFrame, n_shards: int | None = 16, target_bytes: int | None = None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, keep columns, size, text_crc32, shard, slot): into n_shards shards, or as many as leaves of target_bytes take."""
+    rows, dims = metadata(docs, key, text, keep)
     rows = materialize(rows, "metadata")
     if target_bytes:
         n_shards = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     tree = grow(rows, dims, n_shards)
     # the low bits of any dimension are the document's hash; they order slots
-    placed = rows.select(key, "size", "text_crc32", tree.shard().cast("int").alias("shard"), F.shiftleft(F.col(dims[0]), 64 - TIE_BITS).alias("__o"))
+    placed = rows.select(key, *keep, "size", "text_crc32", tree.shard().cast("int").alias("shard"), F.shiftleft(F.col(dims[0]), 64 - TIE_BITS).alias("__o"))
     return gapless(placed, ["shard"], F.col("__o"), [key, "text_crc32"]).drop("__o")
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int | None = 16, target_bytes: int | None = None) -> None:
+def write_shards(
+    docs: DataFrame, path: str, n_shards: int | None = 16, target_bytes: int | None = None, key: str = "doc_id", text: str = "text"
+) -> None:
     """Writes docs as Parquet, a folder per shard, rows in slot order within each file."""
-    at = assign(docs, n_shards, target_bytes).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    rows = docs.join(at, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    rows.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    names = {c: c for c in docs.columns}
+    for c in ("shard", "slot"):
+        if c in names:
+            while names[c] in docs.columns:
+                names[c] = f"doc_{names[c]}"
+    # rows are told apart by a number of their own, fixed by a table: ids may repeat or be null
+    rows = materialize(docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("__doc"), F.monotonically_increasing_id().alias("__row")), "numbered-rows")
+    fields = [F.col("__doc")[names[c]].alias(c) for c in dict.fromkeys((key, text, *[c for c in ("source", "lang") if c in names]))]
+    at = assign(rows.select("__row", *fields), n_shards, target_bytes, key, text, keep=("__row",)).select(F.col("__row").alias("__at"), "shard", "slot")
+    placed = rows.join(at, F.col("__row") == F.col("__at")).select("__doc.*", "shard", "slot")
+    placed.repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,49 @@ def test_cut_is_the_weighted_median(spark):
     assert abs(left - sum(s for _, s in got) / 2) == best
 
 
+def test_every_cut_is_off_by_half_a_row_at_most(spark):
+    docs = c.documents(spark)
+    rows, dims = q.metadata(docs)
+    rows = q.materialize(rows, "t")
+    tree = q.grow(rows, dims, 16)
+    got = rows.collect()
+
+    def walk(node, own):
+        if node.dimension is None:
+            return
+        left = [r for r in own if r[node.dimension] <= node.value]
+        right = [r for r in own if r[node.dimension] > node.value]
+        total = sum(r["size"] for r in own)
+        assert 2 * abs(sum(r["size"] for r in left) - total * (node.k // 2) / node.k) <= max(r["size"] for r in own)
+        walk(node.left, left)
+        walk(node.right, right)
+
+    walk(tree, got)
+    most, share = max(r["size"] for r in got), sum(r["size"] for r in got) / 16
+    for leaf in tree.leaves():
+        mine = sum(r["size"] for r in rows.withColumn("s", tree.shard()).where(f"s = {leaf.first}").select("size").collect())
+        assert abs(mine - share) < most
+
+
+def test_copies_part_where_they_must(spark):
+    docs = spark.createDataFrame([(i, "a copy of one text" if i % 3 else f"text {i}") for i in range(600)], "doc_id long, text string")
+    rows = q.assign(docs).collect()
+    check(rows, docs.collect())
+    size = Counter()
+    for r in rows:
+        size[r.shard] += r.size
+    assert max(size.values()) - min(size.values()) < 2 * max(r.size for r in rows)
+
+
+def test_rows_are_written_once(spark, tmp_path):
+    rows = [(1, "same", "x", 7, 8), (1, "same", "x", 7, 8), (1, "same", "x", 7, 8), (None, "a", "y", 9, None), (None, "b", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, doc_slot int")
+    q.write_shards(docs, str(tmp_path / "s"), 2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert set(back.columns) == {"doc_id", "text", "source", "doc_shard", "doc_slot", "slot", "shard"}
+    assert Counter(tuple(r) for r in back.select("doc_id", "text", "source", "doc_shard", "doc_slot").collect()) == Counter(rows)
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
     docs = c.documents(spark)
     q.write_shards(docs, str(tmp_path / "s"))
