@@ -5,16 +5,19 @@ writer: id lists run-length encoded as integers, a row index for every `stride`
 file per range in ascending order. Each row also holds the ids before it in its file, so a reader needs one sum per
 file to know any document's place; stripes are read in parallel and pruned by doc_id.
 
-The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row; words
-repeat, and their ids are kept in a bounded cache.
+A tokenizer whose file says that it drops white space and never joins across it gives a text the ids of its words in a
+row; words repeat, and their ids are kept in a bounded cache. That is read from the tokenizer's file; any other tokenizer
+gets whole texts.
 
 Edge cases: null texts count as empty and hold the end id alone; null ids come first; rows with equal ids keep the
-order of their file; an empty table gives an empty result; other columns are ignored.
+order of their file; a very long text is one row and one list of ids; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkveil.llm.common import sized, small_batches, table
@@ -42,6 +45,27 @@ SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 ALPHABET = [chr(b) if b in SHOWN else chr(256 + sum(x not in SHOWN for x in range(b))) for b in range(256)]
 
 
+#: What a tokenizer's file must say for the two lines above to hold (fixed values of the file).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(file: dict) -> bool:
+    """Does a tokenizer's file say that ids are those of blank-separated pieces, split and lower-cased as stated here?
+
+    Added tokens that take blanks around them, or match normalised text or single words alone, could reach across pieces.
+    """
+    plain = not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or re.search(r"\s", t["content"]) for t in file["added_tokens"])
+    idle = not any(file.get(k) for k in ("truncation", "padding", "post_processor"))
+    return file["normalizer"] == NORMALIZER and file["pre_tokenizer"] == PRE_TOKENIZER and plain and idle and not file["model"].get("dropout")
+
+
 class Words(dict):
     """The ids of a lower-cased word, from the tokenizer's model where they are not yet known."""
 
@@ -60,7 +84,8 @@ class PieceEncoder:
 
     Ids are looked up by blank-separated piece, in a cache of at most `most` pieces of up to 64 bytes. A new piece of plain
     characters is put together from its words, which the tokenizer's model gives once each while they are in a second
-    cache of that size; other new pieces go through the whole tokenizer.
+    cache of that size; other new pieces go through the whole tokenizer. A tokenizer that does not work by words encodes whole
+    texts.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -68,9 +93,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
+        self.whole = not by_words(json.loads(self.tokenizer.to_str()))
         self.words, self.marks = Words(self.tokenizer.model), [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: bytes | None) -> bytes:
+        if self.whole:
+            ids = self.tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+            return np.array(ids, dtype="<u4").tobytes()
         parts = (text or b"").split()
         got = list(map(self.pieces.get, parts))
         if None in got:
@@ -147,7 +176,8 @@ def write_orc(
     rows = dealt.mapInArrow(per_partition, f"`{key}` {kind}, before bigint, ids array<int>")
     bloom = {"orc.bloom.filter.columns": key, "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(stride)}
     with small_batches(docs.sparkSession):
-        rows.write.options(**bloom, compression="zstd").orc(path)
+        # one file for each range, whatever the session says: `before` counts from the start of its file
+        rows.write.options(**bloom, compression="zstd", maxRecordsPerFile=0).orc(path)
 
 
 def read_orc(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -172,17 +202,23 @@ def read_orc(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     return rows
 
 
+def file_starts(files: DataFrame) -> DataFrame:
+    """(f, base): how many ids the files before hold. files: f, n and least, the least key of the range (null ids come first).
+
+    Ranges do not overlap, so their least keys put files in order, whatever their names. One row per file.
+    """
+    earlier = Window.orderBy(F.asc_nulls_first("least")).rowsBetween(Window.unboundedPreceding, -1)
+    return files.select("f", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+
+
 def token_table(docs: DataFrame, path: str, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes docs as ORC at path and returns (key, start, n_tokens, ids_crc32) as read back."""
-    from pyspark.sql import Window
-
     spark = docs.sparkSession
     write_orc(docs, path, tokenizer, key, text)
     with small_batches(spark):
         rows = materialize(read_orc(spark, path, key), "token-rows")
-    # one row per file; names sort by range
-    earlier = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy(F.col("file").alias("f")).agg(F.sum("n_tokens").alias("n")).select("f", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    least = F.when(F.count("*") == F.count(key), F.min(key))  # null where the file holds null ids
+    bases = file_starts(rows.groupBy(F.col("file").alias("f")).agg(F.sum("n_tokens").alias("n"), least.alias("least")))
     joined = rows.join(sized(bases, 100_000), F.col("file") == F.col("f"))
     return joined.select(key, (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -10,18 +10,18 @@ from tests.llm import common as c
 tokenizers = pytest.importorskip("tokenizers")
 
 
-def direct():
-    return tokenizers.Tokenizer.from_file(q.tokenizer_path())
+def direct(name=q.TOKENIZER):
+    return tokenizers.Tokenizer.from_file(q.tokenizer_path(name))
 
 
-def check(spark, docs):
-    t, want, start = direct(), [], 0
+def check(spark, docs, name=q.TOKENIZER):
+    t, want, start = direct(name), [], 0
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     for r in rows:
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 1]
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
-    got = q.token_table(docs, new_path(spark, "t")).collect()
+    got = q.token_table(docs, new_path(spark, "t"), q.tokenizer_path(name)).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
@@ -57,3 +57,27 @@ def test_files_have_the_named_format(spark):
     found = [orc.ORCFile(n.removeprefix("file:")) for n in names]
     assert all(f.row_index_stride == 1000 for f in found)
     assert spark.read.orc(path).where("doc_id = 17").count() == 1
+
+
+def test_a_tokenizer_that_keeps_blanks_encodes_whole_texts(spark):
+    check(spark, c.documents(spark), "byte_bpe_50k.json")
+    assert q.PieceEncoder(q.tokenizer_path("byte_bpe_50k.json")).whole and not q.PieceEncoder(q.tokenizer_path()).whole
+
+
+def test_records_per_file_do_not_cut_ranges(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        check(spark, c.documents(spark))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_files_are_ordered_by_range_not_by_name(spark):
+    n = 100_020  # Spark pads part numbers to five digits
+    files = spark.range(n).selectExpr("concat('part-', lpad(id, greatest(5, length(id)), '0'), '-x.orc') as f", "id % 7 as n", "if(id = 0, null, id) as least")
+    got = {r.f: r.base for r in q.file_starts(files).collect()}
+    start = 0
+    for k in range(n):
+        if k > 99_990 or k < 9:
+            assert got[f"part-{k:05d}-x.orc"] == start
+        start += k % 7
