@@ -6,7 +6,8 @@ boundaries with the least padding. Inside a bucket of length b, batches of floor
 of a hash of the document, numbered without gathering a bucket in one task.
 
 Edge cases: null and empty texts are one piece of one token (the end id); repeated rows are pieces of their own; null
-ids are carried along; fewer distinct lengths than buckets give fewer buckets; an empty table gives an empty result;
+ids are carried along and ordered by a row number; equal hashes are ordered by id and piece; a very long text is cut into
+pieces like any other; fewer distinct lengths than buckets give fewer buckets; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -30,12 +31,12 @@ BUDGET = 65_536
 KEPT = 400_000
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
     """(key, n_tokens) of whole texts, the end id included."""
     at = tokenizer or tokenizer_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(at, KEPT).encode
+        encode = encoder(at, kept).encode
         for b in batches:
             n = np.fromiter((len(encode(t.as_py())) // 4 + 1 for t in b.column(1)), dtype=np.int64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[key, "n_tokens"])
@@ -75,22 +76,24 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list
 
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-    max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET,
+    max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET, kept: int = KEPT,
 ) -> DataFrame:
     """(key, piece, n_tokens, bucket_len, batch, place, padding): every piece's batch in its bucket and place in that batch."""
-    whole = token_counts(docs, tokenizer, key, text)
+    whole = token_counts(docs, tokenizer, key, text, kept)
     starts = F.sequence(F.lit(0), (F.col("n_tokens") - 1).cast("int"), F.lit(max_len))
     cut = whole.select(key, "n_tokens", F.posexplode(starts).alias("piece", "at"))
     length = F.least(F.col("n_tokens") - F.col("at"), F.lit(max_len)).cast("int")
     with small_batches(docs.sparkSession):
-        pieces = materialize(cut.select(key, "piece", length.alias("n_tokens")), "pieces")
+        # rows without an id are told apart by a number, or all of one length would share a hash and a cell
+        row = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).alias("__row")
+        pieces = materialize(cut.select(key, "piece", length.alias("n_tokens"), row), "pieces")
     histogram = sorted((r["n_tokens"], r["count"]) for r in pieces.groupBy("n_tokens").count().collect())  # max_len rows at most
     bounds = best_boundaries([x for x, _ in histogram], [c for _, c in histogram], buckets)
     to = F.lit(max_len)
     for b in reversed(bounds):
         to = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(to)
     placed = gapless(
-        pieces.withColumn("bucket_len", to), ["bucket_len"], F.xxhash64(F.col(key).cast("string"), "piece", "n_tokens"), [key, "piece"], "__slot"
+        pieces.withColumn("bucket_len", to), ["bucket_len"], F.xxhash64(F.col(key).cast("string"), "piece", "n_tokens", "__row"), [key, "piece", "__row"], "__slot"
     )
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len"))).cast("long")
     return placed.select(

@@ -1,13 +1,19 @@
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from linkveil.llm import packing as q
+from linkveil.llm.tokens import tokenizer_path
 from tests.llm import common as c
 
 
+tokenizers = pytest.importorskip("tokenizers")
+TOKENIZER = tokenizers.Tokenizer.from_file(tokenizer_path())
+
+
 def padding(lengths, counts, bounds):
     return sum(n * (min(b for b in bounds if b >= x) - x) for x, n in zip(lengths, counts, strict=True))
 
@@ -27,9 +33,10 @@ def check(docs, **params):
     rows = q.pack(docs, **params).collect()
     budget, most = params.get("budget", q.BUDGET), params.get("max_len", q.MAX_LEN)
     want = Counter()
-    for r in q.token_counts(docs).collect():
-        for piece, at in enumerate(range(0, r.n_tokens, most)):
-            want[r.doc_id, piece, min(most, r.n_tokens - at)] += 1
+    for r in docs.collect():
+        n = len(TOKENIZER.encode(r.text or "", add_special_tokens=False).ids) + 1
+        for piece, at in enumerate(range(0, n, most)):
+            want[r.doc_id, piece, min(most, n - at)] += 1
     assert Counter((r.doc_id, r.piece, r.n_tokens) for r in rows) == want
     batches = defaultdict(list)
     for r in rows:
@@ -49,3 +56,10 @@ def test_documents(spark):
 def test_awkward_rows(spark):
     check(c.awkward(spark), budget=5000, max_len=1000)
     assert q.pack(c.empty(spark)).count() == 0
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, "one two three")] * 300, "doc_id long, text string")
+    rows = q.pack(docs, budget=40).collect()
+    batches = Counter(r.batch for r in rows)
+    assert sum(batches.values()) == 300 and set(batches.values()) <= {10} and len(batches) == 30
