@@ -4,17 +4,22 @@ Training gathers, from labelled texts, how many texts of each language hold each
 put into the filters of the languages for which it is characteristic: its share of that language's texts is at least
 `floor`, and at least `near` of its share in the language where it is most common. The filters of all languages lie in one
 table, sliced by bits: entry p is a bitmask of the languages whose filter has bit p set, so that the AND of k entries
-gives all languages that (probably) contain an n-gram at once; beyond 64 languages an entry has a word for every 64. A text's n-grams are looked up, hits are counted per language,
-each count is corrected for that filter's false positives, and the language with the most hits is taken.
+gives all languages that (probably) contain an n-gram at once; beyond 64 languages an entry has a word for every 64. The table
+is as large as the fullest language's n-grams need for a false-positive rate of at most `false_rate`; every n-gram that
+passes is put in. A text's n-grams are looked up, hits are counted per language, each count is corrected for that
+filter's false positives, and the language with the most hits is taken.
 
 Edge cases: a null text or one without a letter is `und` with score 0; null languages are not learned from; ties go to
 the first language by name; a text whose n-grams are all unknown gets the most common language with score 0; without
 training rows everything is `und`; repeated rows and null ids are predicted like any others; an empty table gives an
-empty result; lang, source and ids are never inputs of a prediction; other columns are ignored.
+empty result; a very long text is predicted as a whole; lang, source and ids are never inputs of a prediction; other
+columns are ignored. Whether a text has a letter is asked of Unicode's class L; n-grams run over WORDS, which hold number
+signs such as fractions too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkveil.llm.common import small_batches, table
@@ -31,10 +36,11 @@ from linkveil.session import materialize
 ORDERS = (1, 2, 3, 4)
 #: Training texts that are taken at most, by a hash of the text (documented bound); all are taken below it.
 MAX_TRAIN = 12_000
-TABLE_BITS = 20
+#: The table has at least 2 ** 20 entries (a megabyte for up to eight languages).
+LEAST_BITS = 20
 HASHES = 3
 LETTER = regex.compile(r"\p{L}")
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
@@ -42,7 +48,7 @@ UNKNOWN = "und"
 class Params:
     floor: float = 0.01
     near: float = 0.5
-    most_grams: int = 150_000
+    false_rate: float = 0.01
     orders: tuple[int, ...] = ORDERS
 
 
@@ -54,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def cleaned(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts in a row, runs of non-letters read as one blank, and where each text starts."""
-    clean = [" " + " ".join(LETTERS.findall(t.lower())) + " " for t in texts]
+    clean = [" " + " ".join(WORDS.findall(t.lower())) + " " for t in texts]
     code = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     return code, np.r_[0, np.cumsum([len(c) for c in clean])]
 
@@ -74,12 +80,25 @@ def text_grams(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
     return np.concatenate([h for _, h in hashed(code, tuple(n for n in orders if n <= len(code)))])
 
 
+def table_bits(n_grams: int, false_rate: float) -> int:
+    """The bits of an entry's number: a filter of that many n-grams then reports others at false_rate at most."""
+    fill = false_rate ** (1 / HASHES)
+    return max(LEAST_BITS, math.ceil(math.log2(max(1.0, HASHES * n_grams / -math.log(1 - fill)))))
+
+
+def entries(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The HASHES entries of n-grams in a table of 2 ** bits: slices of the hash, or multiples of its upper half added to it."""
+    low = np.uint64((1 << bits) - 1)
+    for k in range(HASHES):
+        yield ((h >> np.uint64(k * bits)) if HASHES * bits <= 64 else h + np.uint64(k) * (h >> np.uint64(32) | np.uint64(1))) & low
+
+
 @dataclass
 class Filters:
     """The bit-sliced table and what it takes to read it."""
 
     languages: list[str]
-    sliced: np.ndarray  # 2 ** TABLE_BITS masks of languages; (words, 2 ** TABLE_BITS) beyond 64 languages
+    sliced: np.ndarray  # 2 ** bits masks of languages; (words, 2 ** bits) beyond 64 languages
     false: np.ndarray  # per language: the chance that an n-gram outside is reported
     common: int = 0  # the most common language
     orders: tuple[int, ...] = field(default=ORDERS)
@@ -87,8 +106,8 @@ class Filters:
     def masks(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram the languages that its k bits have in common."""
         out = None
-        for k in range(HASHES):
-            found = self.sliced[..., (h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)]
+        for at in entries(h, self.sliced.shape[-1].bit_length() - 1):
+            found = self.sliced[..., at]
             out = found if out is None else out & found
         return out
 
@@ -158,29 +177,24 @@ def fit(docs: DataFrame, params: Params | None = None, max_train: int = MAX_TRAI
     totals = counts.groupBy("lang").agg(F.max("n").alias("total"))
     rated = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("p"))
     tops = rated.where(F.col("p") >= params.floor).groupBy("gram").agg(F.collect_list(F.struct("lang", "p")).alias("of"), F.max("p").alias("top"))
-    # n-grams at home everywhere tell nothing; of the rest the most common are kept
-    telling = tops.select("gram", "top", F.filter("of", lambda x: x["p"] >= params.near * F.col("top"))["lang"].alias("langs")).where(
+    # n-grams at home everywhere tell nothing; the rest is bounded by the texts that were taken
+    telling = tops.select("gram", F.filter("of", lambda x: x["p"] >= params.near * F.col("top"))["lang"].alias("langs")).where(
         F.size("langs") < F.greatest(F.lit(2), F.lit(len(languages)))
     )
-    chosen = telling.orderBy(F.desc("top"), "gram").limit(params.most_grams).collect()
-    if len(languages) > 64:  # the many n-grams of some must not leave others without any: each has as many again as its share
-        telling = materialize(telling, "telling-grams")
-        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("top"), "gram"))
-        own = telling.select("gram", "top", F.explode("langs").alias("lang")).withColumn("nth", nth)
-        own = own.where(F.col("nth") <= max(1, params.most_grams // len(languages))).select("gram").distinct()
-        chosen = [*chosen, *telling.join(own, "gram", "left_semi").select("gram", "top", "langs").collect()]
+    chosen = telling.collect()
     kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
     words = -(-len(languages) // 64)
-    sliced = np.zeros((words, 1 << TABLE_BITS), kind)  # as narrow as the languages allow: it should stay in a core's cache
     at_word = {name: (k // 64, kind(1 << k % 64)) for k, name in enumerate(languages)}
     h = np.array([r["gram"] for r in chosen], dtype=np.int64).view(np.uint64)
-    mask = np.zeros((words, len(chosen)), kind)
+    mask, held = np.zeros((words, len(chosen)), kind), dict.fromkeys(languages, 0)
     for i, r in enumerate(chosen):
         for x in r["langs"]:
             word, bit = at_word[x]
             mask[word, i] |= bit
-    for k in range(HASHES):
-        at = (h >> np.uint64(k * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1)
+            held[x] += 1
+    bits = table_bits(max(held.values()), params.false_rate)
+    sliced = np.zeros((words, 1 << bits), kind)  # as narrow as the languages allow: it should stay in a core's cache
+    for at in entries(h, bits):
         for word in range(words):
             np.bitwise_or.at(sliced[word], at, mask[word])
     filled = np.array([np.mean((sliced[k // 64] >> kind(k % 64)) & kind(1)) for k in range(len(languages))])
@@ -191,7 +205,7 @@ def fit(docs: DataFrame, params: Params | None = None, max_train: int = MAX_TRAI
 
 def identify(docs: DataFrame, filters: Filters, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns, lang_pred and score of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** TABLE_BITS masks: 8 MB for every 64 languages at any input size
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # sized by the bounded training texts: 8 MB for every 64 languages and 80,000 n-grams of one
     names = list(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
