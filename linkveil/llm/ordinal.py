@@ -8,7 +8,8 @@ expected grade is the sum of the tail probabilities P(grade >= k); documents who
 The model is fitted on the driver from at most about max_fit labelled texts, taken by a hash of the id (a documented
 bound); every whole text is scored in one pass without a shuffle.
 
-Edge cases: null and empty texts have their shape alone; null ratings are not learned from; the lowest of several grades
+Edge cases: null and empty texts have their shape alone; a very long text is read whole and counts like any other, for a
+feature is there or not; a tail probability equal to `least` keeps; rows of equal features are fitted in any order; null ratings are not learned from; the lowest of several grades
 of an id counts; without ratings every document has the expected grade 0, tail probability 0 and is kept; repeated
 rows and null ids are scored like any others; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,6 +32,7 @@ from linkveil.llm.common import small_batches, table
 BITS = 18
 MAX_FIT = 12_000
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+CAPITALS = bytes(range(65, 91))
 
 
 @dataclass
@@ -52,7 +54,7 @@ def features(text: bytes | None) -> np.ndarray:
     kinds = set(words)
     n = max(1, len(raw.split()))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    upper = sum(map(raw.count, (b"A", b"E", b"I", b"O", b"U", b"N", b"R", b"S", b"T")))
+    upper = len(raw) - len(raw.translate(None, CAPITALS))
     shape = {
         "words": math.log2(n),
         "kinds": 10 * len(kinds) / max(1, len(words)),
@@ -70,7 +72,28 @@ def features(text: bytes | None) -> np.ndarray:
     return np.fromiter(out, dtype=np.int32, count=len(out))
 
 
-def fit_model(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 120, penalty: float = 1e-3, least_texts: int = 6, seed: int = 3) -> Model:
+def bounds_of(t: np.ndarray) -> np.ndarray:
+    """Thresholds from a first one and the logarithms of the gaps, so that they keep their order."""
+    return np.r_[t[0], t[0] + np.cumsum(np.exp(t[1:]))]
+
+
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, of: np.ndarray, column: np.ndarray, grades: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Mean of -log P(grade) plus the penalty on w, and its gradient by w and t. Text of[i] has feature column[i]."""
+    n, top, rows = len(grades), len(t), np.arange(len(grades))
+    margin = np.bincount(of, weights=w[column], minlength=n)
+    below = 1 / (1 + np.exp(np.clip(margin[:, None] - bounds_of(t)[None, :], -30, 30)))  # P(grade <= k)
+    full = np.c_[np.zeros(n), below, np.ones(n)]
+    p = np.maximum(full[rows, grades + 1] - full[rows, grades], 1e-9)
+    slope = full * (1 - full)
+    high, low = slope[rows, grades + 1], slope[rows, grades]
+    pull = (high - low) / p  # derivative of -log p by the margin
+    g_w = np.bincount(column, weights=pull[of], minlength=len(w)) / n + penalty * w
+    g_b = np.array([-(np.sum(high[grades == k] / p[grades == k]) - np.sum(low[grades == k + 1] / p[grades == k + 1])) / n for k in range(top)])
+    later = np.cumsum(g_b[::-1])[::-1]
+    return float(-np.log(p).mean() + penalty * (w @ w) / 2), np.r_[g_w, later[0], later[1:] * np.exp(t[1:])]
+
+
+def fit_model(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 120, penalty: float = 1e-3, least_texts: int = 6) -> Model:
     """Maximum likelihood with an L2 penalty by Adam over the whole sample; features of fewer than least_texts texts stay 0."""
     top = int(grades.max()) if len(grades) else 0
     weights = np.zeros(1 << BITS, np.float32)
@@ -85,31 +108,18 @@ def fit_model(lists: list[np.ndarray], grades: np.ndarray, rounds: int = 120, pe
     of = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
     column = to[flat]
     of, column = of[column >= 0], column[column >= 0]
-    n, w = len(lists), np.zeros(len(known))
+    w = np.zeros(len(known))
     share = np.array([np.mean(grades <= k) for k in range(top)])
-    # thresholds as a first one and positive gaps keep their order
     start = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
     t = np.r_[start[0], np.log(np.maximum(np.diff(start), 1e-2))]
     step, m, v = 0.05, np.zeros(len(w) + top), np.zeros(len(w) + top)
-    rows = np.arange(n)
     for i in range(1, rounds + 1):
-        bounds = np.r_[t[0], t[0] + np.cumsum(np.exp(t[1:]))]
-        margin = np.bincount(of, weights=w[column], minlength=n)
-        below = 1 / (1 + np.exp(np.clip(margin[:, None] - bounds[None, :], -30, 30)))  # P(grade <= k)
-        full = np.c_[np.zeros(n), below, np.ones(n)]
-        p = np.maximum(full[rows, grades + 1] - full[rows, grades], 1e-9)
-        slope = full * (1 - full)
-        high, low = slope[rows, grades + 1], slope[rows, grades]
-        pull = (high - low) / p  # derivative of -log p by the margin
-        g_w = np.bincount(column, weights=pull[of], minlength=len(w)) / n + penalty * w
-        g_b = np.array([-(np.sum(high[grades == k] / p[grades == k]) - np.sum(low[grades == k + 1] / p[grades == k + 1])) / n for k in range(top)])
-        later = np.cumsum(g_b[::-1])[::-1]
-        g = np.r_[g_w, later[0], later[1:] * np.exp(t[1:])]
+        _, g = loss_and_gradient(w, t, of, column, grades, penalty)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
         w, t = w - move[: len(w)], t - move[len(w) :]
     weights[known] = w
-    return Model(np.r_[t[0], t[0] + np.cumsum(np.exp(t[1:]))], weights)
+    return Model(bounds_of(t), weights)
 
 
 def graded(labels: DataFrame, max_fit: int) -> DataFrame:

@@ -32,3 +32,58 @@ def test_awkward_rows(spark):
     for model in (q.fit(c.awkward(spark), labels), q.fit(c.awkward(spark), labels.limit(0)), q.fit(c.documents(spark), spark.read.parquet(f"{c.SF}/labels.parquet"))):
         assert q.score(c.awkward(spark), model).count() == len(c.awkward_rows())
         assert q.score(c.empty(spark), model).count() == 0
+
+
+def test_gradient_is_that_of_finite_differences():
+    rng = np.random.default_rng(2)
+    n, k = 40, 6
+    of = np.repeat(np.arange(n), 3)
+    column, grades = rng.integers(0, k, 3 * n), rng.integers(0, 4, n)
+    x = np.r_[rng.normal(size=k), -0.7, rng.normal(size=2) / 3]
+    f = lambda x: q.loss_and_gradient(x[:k], x[k:], of, column, grades, 0.1)
+    for i, g in enumerate(f(x)[1]):
+        e = np.eye(len(x))[i] * 1e-5
+        assert abs((f(x + e)[0] - f(x - e)[0]) / 2e-5 - g) < 1e-7
+
+
+def slow_features(raw):
+    """The features of a text one by one, counted in plain loops."""
+    import math
+    import zlib
+
+    text = raw or b""
+    words, word = [], b""
+    for b in [*text.lower(), 32]:
+        if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128:
+            word += bytes([b])
+        elif word:
+            words.append(word)
+            word = b""
+    n = max(1, len(text.split()))
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    count = lambda s: sum(chr(b) in s for b in text)
+    shape = {
+        "words": math.log2(n), "kinds": 10 * len(set(words)) / max(1, len(words)), "signs": 4 * min(2.0, count("#*$%&<>") / n), "bars": 8 * min(1.0, count("|") / n),
+        "shouts": 8 * min(1.0, count("!") / n), "upper": 4 * min(2.0, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n), "lines": 8 * (len(lines) - len(set(lines))) / max(1, len(lines)), "length": min(12.0, len(text) / n),
+    }
+    out = {zlib.crc32(w) for w in words} | {zlib.crc32(w[:6], 2) for w in words} | {zlib.crc32(f"{k}={math.ceil(v)}".encode(), 1) for k, v in shape.items()}
+    return {x % (1 << q.BITS) for x in out}
+
+
+def test_scores_are_those_of_a_slow_scorer(spark):
+    import math
+
+    docs = c.documents(spark).limit(60).unionByName(c.awkward(spark).select(c.documents(spark).columns))
+    model = q.fit(c.documents(spark), spark.read.parquet(f"{c.SF}/labels.parquet"))
+    want = []
+    for r in docs.collect():
+        margin = sum(float(model.weights[f]) for f in slow_features(None if r.text is None else r.text.encode()))
+        tails = [1 / (1 + math.exp(t - margin)) for t in model.thresholds]
+        want.append((str(r.doc_id), round(sum(tails), 9), round(tails[-1], 9), tails[-1] >= 0.5))
+    got = [(str(r.doc_id), round(r.expected_grade, 9), round(r.p_top, 9), r.kept) for r in q.score(docs, model).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_tail_equal_to_the_bound_keeps(spark):
+    model = q.Model(np.array([0.0, 0.0]), np.zeros(1 << q.BITS, np.float32))
+    assert all(r.kept and r.p_top == 0.5 for r in q.score(c.awkward(spark), model).collect())
