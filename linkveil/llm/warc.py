@@ -1,6 +1,6 @@
 """WARC archives, index first (operator 10).
 
-Writing: payloads are told apart by their SHA-1; the record with the smallest id of equal payloads is a response,
+Writing: payloads are told apart by their SHA-1 and length; the record with the smallest id of equal payloads is a response,
 the others are revisits that refer to it. Each task writes its rows as one archive of gzip members in the shared folder and
 returns one index row per record: file, offset, length, URL, digest. Only index rows of tasks that ended well are
 kept, and archives of failed attempts have names that no index row holds.
@@ -9,7 +9,7 @@ Reading: index rows are selected first (by URL, digest, id or any column), dealt
 neighbouring byte ranges are fetched by one read each.
 
 Edge cases: null payloads are empty; empty payloads are equal payloads too (with min_bytes 0); null ids sort after all
-others and are carried along; null URLs are written as an empty target; line breaks and blanks in URLs are
+others and are carried along; ids with a line break are refused, for they go into a header; null URLs are written as an empty target; line breaks and blanks in URLs are
 percent-encoded in the header and kept in the index; repeated rows of the smallest id are each a response; an empty table writes nothing and reads nothing; other columns are ignored.
 """
 
@@ -40,6 +40,13 @@ def record_id(page_id) -> str:
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
 
 
+def header_value(page_id) -> str:
+    value = str(page_id)
+    if "\r" in value or "\n" in value:
+        raise ValueError("an id with a line break cannot go into a header")
+    return value
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -61,9 +68,9 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None) -> tuple[by
         f"Content-Length: {len(block)}",
     ]
     if revisit:
-        lines[6:6] = [f"WARC-Refers-To: <{record_id(refers_to)}>", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
+        lines[6:6] = [f"WARC-Refers-To: <{record_id(refers_to)}>", f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {header_value(refers_to)}"]
     if page_id is not None:
-        lines.insert(6, f"X-Page: {page_id}")
+        lines.insert(6, f"X-Page: {header_value(page_id)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", digest
 
 
@@ -96,7 +103,7 @@ def write_warc(
     Index: file, offset, length, url, digest, key, type.
     """
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(key, F.col(url).alias("__url"), F.sha1(body).alias("__sha"), body.alias("__body"))
+    rows = pages.select(key, F.col(url).alias("__url"), F.struct(F.sha1(body).alias("s"), F.length(body).alias("n")).alias("__sha"), body.alias("__body"))
     own = rows.select(F.col("__sha").alias("__s"), key, (F.length("__body") >= min_bytes).alias("__long")).where("__long")
     first = own.groupBy("__s").agg(F.min(key).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
     first = sized(materialize(first, "first-records"), 100_000)  # a small table leaves the payloads where they are
@@ -150,22 +157,28 @@ def read_warc(selected: DataFrame, path: str, with_payload: bool = True) -> Data
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _files(path)
         name, source = None, None
-        for b in batches:
-            rows = list(zip(*[c.to_pylist() for c in b.columns], strict=True))
-            at = 0
-            while at < len(rows):
-                end = next((k for k in range(at, len(rows)) if rows[k][0] != rows[at][0]), len(rows))
-                if rows[at][0] != name:
-                    name, source = rows[at][0], fs.open_input_file(f"{base}/{rows[at][0]}")
-                for first, past, start, stop in coalesced([r[1:3] for r in rows[at:end]]):
-                    data, got = source.read_at(stop - start, start), []
-                    for _, offset, length, address in rows[at + first : at + past]:
-                        r = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
-                        h = r["headers"]
-                        got.append((h.get("x-page"), address, r["bytes"], h["warc-payload-digest"].removeprefix("sha1:"), r["type"], h.get("x-refers-to-page"), r["payload"] if with_payload else None))
-                    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-                at = end
+        try:
+            for b in batches:
+                rows = list(zip(*[c.to_pylist() for c in b.columns], strict=True))
+                at = 0
+                while at < len(rows):
+                    end = next((k for k in range(at, len(rows)) if rows[k][0] != rows[at][0]), len(rows))
+                    if rows[at][0] != name:
+                        if source is not None:
+                            source.close()
+                        name, source = rows[at][0], fs.open_input_file(f"{base}/{rows[at][0]}")
+                    for first, past, start, stop in coalesced([r[1:3] for r in rows[at:end]]):
+                        data, got = source.read_at(stop - start, start), []
+                        for _, offset, length, address in rows[at + first : at + past]:
+                            r = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
+                            h = r["headers"]
+                            got.append((h.get("x-page"), address, r["bytes"], h["warc-payload-digest"].removeprefix("sha1:"), r["type"], h.get("x-refers-to-page"), r["payload"] if with_payload else None))
+                        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                    at = end
+        finally:
+            if source is not None:
+                source.close()
 
     # pieces of a file are read by tasks of their own: a hot or large file does not wait for one task
     piece = F.expr(f"offset div {8 * MOST}")

@@ -72,3 +72,13 @@ def test_small_payloads_are_all_responses(spark):
 def test_ranges_coalesce():
     assert q.coalesced([(0, 10), (10, 5), (100, 5), (1000, 5)], gap=90, most=200) == [(0, 3, 0, 105), (3, 4, 1000, 1005)]
     assert q.coalesced([(0, 10), (10, 10)], gap=0, most=15) == [(0, 1, 0, 10), (1, 2, 10, 20)]
+
+
+def test_ids_with_line_breaks_are_refused():
+    import pytest
+
+    for bad in ("a\nb", "a\r\nX-Page: 2"):
+        with pytest.raises(ValueError, match="line break"):
+            q.record(bad, "u", b"x")
+        with pytest.raises(ValueError, match="line break"):
+            q.record("ok", "u", b"x", bad)
