@@ -7,7 +7,10 @@ bins are quantiles of the labelled rows. The list is emitted as one ordered CASE
 
 Edge cases: null and empty texts have no words (n_words 0, so base_failed); a statistic over no words is 0; null
 labels are not used; without labels, or when nothing meets the precision asked for, the list is empty and the base
-rules alone decide; repeated rows and tied values are treated alike; other columns are ignored.
+rules alone decide; repeated rows and tied values are treated alike; of equal gains the first statistic, its least
+threshold and `<=` win; of heads equally precise the shortest stays; a very long text is counted in whole, in time that
+grows with its words; an empty table gives an empty result; other columns are ignored, a stage keeps them (names that
+begin with two underscores are the operator's own).
 """
 
 from __future__ import annotations
@@ -145,11 +148,10 @@ def bin_of(name: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: F.col(name) > t)) if cuts else F.lit(0)
 
 
-def learn_rules(labelled: DataFrame, params: RuleParams | None = None) -> list[Rule]:
-    """A decision list from labelled rows: STATISTICS, a boolean `bad`, a boolean `grow` (else: prune)."""
-    params = params or RuleParams()
-    probs = [i / params.quantiles for i in range(params.quantiles + 1)]
-    cuts = labelled.select(
+def cuts_of(labelled: DataFrame, quantiles: int) -> dict[str, list[float]]:
+    """The thresholds that conditions may use: quantiles of each statistic over all rows and over the bad ones."""
+    probs = [i / quantiles for i in range(quantiles + 1)]
+    found = labelled.select(
         *[
             F.array_sort(F.array_distinct(F.concat(*[
                 F.coalesce(F.percentile_approx(F.when(side, F.col(s)), probs, 20_000), F.array().cast("array<double>")) for side in (F.lit(True), F.col("bad"))
@@ -157,7 +159,13 @@ def learn_rules(labelled: DataFrame, params: RuleParams | None = None) -> list[R
             for s in STATISTICS
         ]
     ).first()
-    cuts = {s: list(cuts[s] or []) for s in STATISTICS}
+    return {s: list(found[s] or []) for s in STATISTICS}
+
+
+def learn_rules(labelled: DataFrame, params: RuleParams | None = None) -> list[Rule]:
+    """A decision list from labelled rows: STATISTICS, a boolean `bad`, a boolean `grow` (else: prune)."""
+    params = params or RuleParams()
+    cuts = cuts_of(labelled, params.quantiles)
     if not any(cuts.values()):
         return []
     bins = labelled.select(

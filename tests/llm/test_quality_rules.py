@@ -62,3 +62,65 @@ def test_stage_keeps_columns_and_clean_documents(spark):
     assert {r.doc_id for r in docs.collect() if brute(r.text)[0] >= 10 and brute(r.text)[4] == 0 and brute(r.text)[2] == 0} <= kept
     assert q.stage(spark, c.empty(spark), c.SF).count() == 0
     assert q.stage(spark, c.awkward(spark), c.SF).columns == c.awkward(spark).columns
+
+
+def slow_list(rows, cuts, params):
+    """Sequential covering over rows, one predicate at a time."""
+    import math
+
+    def meets(r, cond):
+        name, op, at = cond
+        return r[name] <= at if op == "<=" else r[name] > at
+
+    def count(own, part):
+        some = [r for r in own if r["grow"] == part]
+        bad = sum(r["bad"] for r in some)
+        return bad, len(some) - bad
+
+    left, rules = list(rows), []
+    while len(rules) < params.max_rules and count(left, True)[0] >= params.min_cover:
+        conds, inside, steps = [], left, []
+        while len(conds) < params.max_conditions and count(inside, True)[1] > 0:
+            p0, n0 = count(inside, True)
+            best = None
+            for name in q.STATISTICS:
+                for at in cuts[name]:
+                    for op in ("<=", ">"):
+                        p, n = count([r for r in inside if meets(r, (name, op, at))], True)
+                        if p < params.min_cover or p + n == p0 + n0:
+                            continue
+                        gain = p * (math.log2((p + 1) / (p + n + 2)) - math.log2((p0 + 1) / (p0 + n0 + 2)))
+                        if best is None or gain > best[0]:
+                            best = (gain, (name, op, at))
+            if best is None or best[0] <= 0:
+                break
+            conds.append(best[1])
+            inside = [r for r in inside if meets(r, best[1])]
+            steps.append((count(inside, True), count(inside, False)))
+        if not steps:
+            break
+        worth = [round((p + 1) / (p + n + 2), 4) for _, (p, n) in steps]
+        k = worth.index(max(worth))
+        grow, prune = steps[k]
+        if prune[0] < params.min_prune or any(p < params.min_precision * (p + n) for p, n in (grow, prune)):
+            break
+        rules.append(conds[: k + 1])
+        left = [r for r in left if not all(meets(r, x) for x in conds[: k + 1])]
+    return rules
+
+
+def test_the_learned_list_is_that_of_a_slow_learner(spark):
+    import random
+
+    draw, rows = random.Random(5), []
+    for _ in range(500):
+        r = {s: float(draw.randrange(9)) for s in q.STATISTICS}
+        noise = draw.random() < 0.01
+        r["bad"] = ((r["s_words"] > 5 and r["s_upper"] <= 3) or r["s_bars"] > 7) != noise
+        r["grow"] = draw.random() < 0.67
+        rows.append(r)
+    labelled = spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+    params = q.RuleParams(quantiles=10, min_precision=0.9)
+    got = q.learn_rules(labelled, params)
+    assert len(got) >= 2
+    assert [r.conditions for r in got] == slow_list(rows, q.cuts_of(labelled, params.quantiles), params)
