@@ -21,11 +21,15 @@ def digest_mod(hex_digest: Column, digits: int, modulus: int) -> Column:
     """The hex number of that many digits (a multiple of 8) modulo modulus."""
     if not 0 < modulus < 2**31:
         raise ValueError("the length of a filter must be below 2 ** 31")
-    out = F.lit(0).cast("long")
-    for at in range(1, digits, 8):
-        chunk = F.conv(F.substring(hex_digest, at, 8), 16, 10).cast("long")
-        out = F.pmod(out * F.lit(1 << 32) + chunk, F.lit(modulus).cast("long"))
-    return out
+
+    def fold(digest: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for at in range(1, digits, 8):
+            chunk = F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+            out = F.pmod(out * F.lit(1 << 32) + chunk, F.lit(modulus).cast("long"))
+        return out
+
+    return let(hex_digest, fold)
 
 
 def _sha1(g: Column, n: int) -> Column:

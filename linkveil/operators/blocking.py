@@ -45,10 +45,14 @@ def band_probability(similarity: float, rows: int, bands: int) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
+def hamming_samples(n_bits: int, samples: int, size: int, seed: int = 42) -> list[list[int]]:
+    draw = random.Random(seed)
+    return [sorted(draw.sample(range(n_bits), size)) for _ in range(samples)]
+
+
 def hamming_blocks(df: DataFrame, key: str, bits: str, n_bits: int, samples: int, size: int, seed: int = 42) -> DataFrame:
     """(block, key): for every sample of positions, its number and which of them are set."""
-    draw = random.Random(seed)
-    chosen = F.array(*[F.struct(F.lit(s).alias("s"), F.array(*map(F.lit, sorted(draw.sample(range(n_bits), size)))).alias("p")) for s in range(samples)])
+    chosen = F.array(*[F.struct(F.lit(s).alias("s"), F.array(*map(F.lit, p)).alias("p")) for s, p in enumerate(hamming_samples(n_bits, samples, size, seed))])
     keys = F.transform(chosen, lambda c: F.concat_ws(":", c["s"], F.array_join(F.array_intersect(c["p"], F.col(bits)), "-")))
     return df.select(key, F.explode(keys).alias("block")).select("block", key)
 
@@ -58,8 +62,10 @@ def soundex_blocks(df: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     return df.select(F.concat_ws("-", *[soundex(F.col(a)) for a in attributes]).alias("block"), key)
 
 
-def one_block(df: DataFrame, key: str) -> DataFrame:
-    """Everything in one block: for small sets that are compared in whole."""
+def one_block(df: DataFrame, key: str, most: int = 5_000) -> DataFrame:
+    """Everything in one block: for sets of at most `most` rows, which are compared in whole; larger ones are refused."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"one block compares every pair; it takes at most {most} rows")
     return df.select(F.lit("all").alias("block"), key)
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import random
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,44 +42,81 @@ def attribute_grams(e: Encoding, attribute: str) -> Column:
     return salted(grams, F.col(e.salt)) if e.salt else grams
 
 
-def attribute_filter(e: Encoding, attribute: str, k: int, bf_len: int | None = None) -> Column:
-    return hashing.positions(attribute_grams(e, attribute), bf_len or e.bf_len, k, e.scheme)
+#: Distinct q-grams whose positions go with the plan (some 60 bytes each); beyond that every row hashes its own.
+MOST_GRAMS = 20_000
+#: Positions of a set of q-grams: (q-grams, length, k) -> sorted set.
+Hash = Callable[[Column, int, int], Column]
 
 
-def abf(e: Encoding) -> Column:
+def in_row(e: Encoding) -> Hash:
+    return lambda grams, bf_len, k: hashing.positions(grams, bf_len, k, e.scheme)
+
+
+def from_dictionary(df: DataFrame, e: Encoding) -> Hash:
+    """Hashes every distinct q-gram of the attributes once and looks positions up in the rows; in_row where there are too many.
+
+    The dictionary is a literal of buckets, found by the q-gram's CRC-32, so that a lookup does not grow with it.
+    """
+    each = df.select(F.explode(F.flatten(F.array(*[attribute_grams(e, a) for a in e.attributes]))).alias("gram")).distinct()
+    known = [r["gram"] for r in each.limit(MOST_GRAMS + 1).collect()]
+    if len(known) > MOST_GRAMS or not known:
+        return in_row(e)
+    own = df.sparkSession.createDataFrame([(g,) for g in known], "gram string")
+
+    def positions(grams: Column, bf_len: int, k: int) -> Column:
+        n = 1 << (len(known) // 2).bit_length()
+        buckets: list[dict[str, list[int]]] = [{} for _ in range(n)]
+        for r in own.select("gram", hashing.positions(F.array("gram"), bf_len, k, e.scheme).alias("p")).collect():
+            buckets[zlib.crc32(r["gram"].encode()) % n][r["gram"]] = list(r["p"])
+        table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>")
+        look = lambda g: F.element_at(F.get(table, F.pmod(F.crc32(g.cast("binary")), F.lit(n)).cast("int")), g)
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(grams, look))))
+
+    return positions
+
+
+def attribute_filter(e: Encoding, attribute: str, k: int, bf_len: int | None = None, how: Hash | None = None) -> Column:
+    return (how or in_row(e))(attribute_grams(e, attribute), bf_len or e.bf_len, k)
+
+
+def abf(e: Encoding, how: Hash | None = None) -> Column:
     """The first attribute alone."""
-    return attribute_filter(e, e.attributes[0], e.k if isinstance(e.k, int) else e.k[0])
+    return attribute_filter(e, e.attributes[0], e.k if isinstance(e.k, int) else e.k[0], how=how)
 
 
-def clk(e: Encoding) -> Column:
+def clk(e: Encoding, how: Hash | None = None) -> Column:
     """The OR of all attributes' filters, with one k or one for each."""
     ks = (e.k,) * len(e.attributes) if isinstance(e.k, int) else e.k
     if len(ks) != len(e.attributes):
         raise ValueError("one number of hash functions for each attribute")
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[attribute_filter(e, a, k) for a, k in zip(e.attributes, ks, strict=True)]))))
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[attribute_filter(e, a, k, how=how) for a, k in zip(e.attributes, ks, strict=True)]))))
 
 
 def rbf_map(lengths: list[int], shares: list[float], bf_len: int, seed: int = 42) -> list[list[int]]:
     """For every attribute a list of (filter bit, record bit) pairs, flattened by attribute.
 
-    Attribute a gives int(share * bf_len) bits drawn with its number as seed (with repeats if it has fewer), laid side
-    by side and then permuted with the given seed.
+    Attribute a gives int(share * bf_len) bits drawn with its number as seed, laid side by side and then permuted with the
+    given seed. A filter with fewer bits than that gives each once, and the rest with repeats.
     """
     drawn: list[tuple[int, int]] = []
     for number, (length, share) in enumerate(zip(lengths, shares, strict=True)):
         want, draw = int(share * bf_len), random.Random(number)
-        bits = draw.sample(range(length), want) if want <= length else [draw.randrange(length) for _ in range(want)]
+        bits = draw.sample(range(length), want) if want <= length else list(range(length)) + [draw.randrange(length) for _ in range(want - length)]
         drawn += [(number, b) for b in bits]
     to = hardening.permutation(len(drawn), seed)
     return [[number, bit, to[at]] for at, (number, bit) in enumerate(drawn)]
 
 
 def apply_rbf_map(filters: list[Column], table: list[list[int]]) -> Column:
-    """The record filter: record bits whose attribute bit is set. The map is as long as the filter, a literal."""
+    """The record filter: record bits whose attribute bit is set. The map is a literal, by filter bit: work grows with the 1-bits."""
 
     def part(number: int, pos: Column) -> Column:
-        pairs = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r).alias("r")) for n, b, r in table if n == number])
-        return F.transform(F.filter(pairs, lambda x: F.array_contains(pos, x["b"])), lambda x: x["r"])
+        to: list[list[int]] = [[] for _ in range(1 + max((b for n, b, _ in table if n == number), default=0))]
+        for n, b, r in table:
+            if n == number:
+                to[b].append(r)
+        by_bit = F.from_json(F.lit(json.dumps(to)), "array<array<int>>")
+        return F.flatten(F.transform(pos, lambda p: F.coalesce(F.get(by_bit, p), F.array().cast("array<int>"))))
 
     return F.array_sort(F.flatten(F.array(*[part(n, pos) for n, pos in enumerate(filters)])))
 
@@ -98,14 +138,14 @@ def with_optimal_k(df: DataFrame, e: Encoding) -> Encoding:
     return Encoding(**{**e.__dict__, "k": max(1, optimal_k(e.bf_len, row["n"]))})
 
 
-def rbf(df: DataFrame, e: Encoding, shares: list[float], dynamic: bool = False, fill: float = 0.5) -> Column:
+def rbf(df: DataFrame, e: Encoding, shares: list[float], dynamic: bool = False, fill: float = 0.5, how: Hash | None = None) -> Column:
     """E4 and E5. Lengths of attribute filters are bf_len, or follow the average number of q-grams."""
     k = e.k if isinstance(e.k, int) else e.k[0]
     lengths = [e.bf_len] * len(e.attributes)
     if dynamic:
         grams = average_grams(df, e)
         lengths = [dynamic_length(fill, k, max(grams[a], 1.0)) for a in e.attributes]
-    filters = [attribute_filter(e, a, k, n) for a, n in zip(e.attributes, lengths, strict=True)]
+    filters = [attribute_filter(e, a, k, n, how) for a, n in zip(e.attributes, lengths, strict=True)]
     return apply_rbf_map(filters, rbf_map(lengths, shares, e.bf_len, e.seed))
 
 
@@ -119,8 +159,11 @@ def harden(pos: Column, e: Encoding) -> Column:
     return pos
 
 
-def encode(df: DataFrame, e: Encoding, shares: list[float] | None = None, out: str = "bits", chain_len: int = 2) -> DataFrame:
-    """Df with a column of sorted 1-bits. One projection, whatever the size, but for Markov chains, which join their model."""
+def encode(df: DataFrame, e: Encoding, shares: list[float] | None = None, out: str = "bits", chain_len: int = 2, dictionary: bool = True) -> DataFrame:
+    """Df with a column of sorted 1-bits. One projection, whatever the size, but for Markov chains, which join their model.
+
+    With dictionary (not on streams) a first job gathers the distinct q-grams, which are then hashed once each.
+    """
     if e.harden == "markov":
         value = df.withColumn("__value", F.concat_ws(" ", *[F.coalesce(F.col(a), F.lit("")) for a in e.attributes])).withColumn("__row", F.monotonically_increasing_id())
         grams = value.withColumn("__grams", F.array_distinct(F.flatten(F.array(*[attribute_grams(e, a) for a in e.attributes]))))
@@ -130,7 +173,9 @@ def encode(df: DataFrame, e: Encoding, shares: list[float] | None = None, out: s
         wide = hardening.expand_grams(materialize(grams, "markov-grams"), "__grams", extras, "__row")
         k = e.k if isinstance(e.k, int) else e.k[0]
         return wide.withColumn(out, hashing.positions(F.col("__grams"), e.bf_len, k, e.scheme)).drop("__value", "__row", "__grams")
-    pos = {"abf": lambda: abf(e), "clk": lambda: clk(e), "clkrbf": lambda: clk(e)}.get(e.kind, lambda: rbf(df, e, shares or [1 / len(e.attributes)] * len(e.attributes)))()
+    how = from_dictionary(df, e) if dictionary and not df.isStreaming and e.scheme != "rh" else in_row(e)
+    even = [1 / len(e.attributes)] * len(e.attributes)
+    pos = {"abf": lambda: abf(e, how), "clk": lambda: clk(e, how), "clkrbf": lambda: clk(e, how)}.get(e.kind, lambda: rbf(df, e, shares or even, how=how))()
     return df.withColumn(out, harden(pos, e))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkveil.functions.columns import gram_set
+from linkveil.session import materialize
 
 #: Values that reconstruct() may be asked to try; the candidates are a stated top-N.
 MOST_CANDIDATES = 10_000
@@ -42,7 +43,8 @@ def align(filters: DataFrame, values: DataFrame, least: int = 1) -> DataFrame:
 
     filters: a column bits (pattern); values: a column value. With one rank in all the pair is taken as it is.
     """
-    own, other = frequencies(filters, "bits", "bits", least), frequencies(values, "value", "value", least)
+    own = materialize(frequencies(filters, "bits", "bits", least), "filter-frequencies")  # read several times each
+    other = materialize(frequencies(values, "value", "value", least), "value-frequencies")
     single = own.limit(2).count() == 1 or other.limit(2).count() == 1
     left = ranked(own, "bits").select("rank", "bits", F.col("n").alias("bf_n"), F.col("tied").alias("lt"))
     right = ranked(other, "value").select("rank", "value", F.col("n").alias("value_n"), F.col("tied").alias("rt"))

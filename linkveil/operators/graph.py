@@ -113,35 +113,56 @@ def egonets(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
     )
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, pagerank), by `similarity`-blind power steps; each round is written to the shared folder."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
+    """(node, pagerank), by `similarity`-blind power steps until all ranks together move by at most tolerance.
+
+    Each round is written to the shared folder. With tolerance 0 exactly `rounds` steps are taken; else it raises if they
+    do not suffice.
+    """
     near = materialize(both_ways(edges).select("node", "other"), "adjacent")
     out = materialize(near.groupBy("node").agg(F.count("*").alias("d")), "degrees")
     n = max(1, out.count())
     rank = out.select("node", F.lit(1.0 / n).alias("r"))
+    rank = materialize(rank, "rank")
     for _ in range(rounds):
         given = rank.join(out, "node").select("node", (F.col("r") / F.col("d")).alias("g"))
-        got = near.join(given, "node").groupBy("other").agg(F.sum("g").alias("s"))
-        rank = materialize(got.select(F.col("other").alias("node"), (F.lit((1 - damping) / n) + damping * F.col("s")).alias("r")), "rank")
+        got = near.join(given, "node").groupBy(F.col("other").alias("node")).agg(F.sum("g").alias("s"))
+        new = got.join(rank, "node").select("node", (F.lit((1 - damping) / n) + damping * F.col("s")).alias("r"), F.col("r").alias("old"))
+        new = materialize(new, "rank")
+        rank = new.select("node", "r")
+        if tolerance and (new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0) <= tolerance:
+            break
+    else:
+        if tolerance:
+            raise RuntimeError(f"ranks have not settled to {tolerance} in {rounds} rounds")
     return rank.select("node", F.col("r").alias("pagerank"))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, eigenvector) by power steps with A + I, normalised."""
+def eigenvector(edges: DataFrame, rounds: int = 500, tolerance: float = 1e-6) -> DataFrame:
+    """(node, eigenvector) by power steps with A + I, normalised, until no node moves by more than tolerance.
+
+    With tolerance 0 exactly `rounds` steps are taken; else it raises if they do not suffice.
+    """
     near = materialize(both_ways(edges).select("node", "other"), "adjacent")
     score = near.select("node").distinct().withColumn("x", F.lit(1.0))
     for _ in range(rounds):
         got = near.join(score, "node").groupBy("other").agg(F.sum("x").alias("s")).select(F.col("other").alias("node"), "s")
-        added = materialize(score.join(got, "node").select("node", (F.col("x") + F.col("s")).alias("x")), "eigen")
+        added = materialize(score.join(got, "node").select("node", (F.col("x") + F.col("s")).alias("x"), F.col("x").alias("old")), "eigen")
         norm = added.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
         score = added.select("node", (F.col("x") / norm).alias("x"))
+        if tolerance and (added.agg(F.max(F.abs(F.col("x") / norm - F.col("old")))).first()[0] or 0.0) <= tolerance:
+            break
+    else:
+        if tolerance:
+            raise RuntimeError(f"scores have not settled to {tolerance} in {rounds} rounds")
     return score.select("node", F.col("x").alias("eigenvector"))
 
 
 def path_centralities(edges: DataFrame, most_nodes: int = 5_000) -> DataFrame:
     """(node, closeness, betweenness, degree_centrality), exact breadth-first counts within each component.
 
-    A component is solved in one task; one of more than most_nodes nodes is refused with its size, not sampled.
+    degree_centrality counts every edge at both of its directions, in and out. A component is solved in one task, all
+    sources of a block at once, level by level; one of more than most_nodes nodes is refused with its size, not sampled.
     """
     comps = materialize(connected_components(edges), "components")
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
@@ -155,37 +176,67 @@ def path_centralities(edges: DataFrame, most_nodes: int = 5_000) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
         at = {x: i for i, x in enumerate(names)}
-        near: list[list[int]] = [[] for _ in names]
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            near[at[a]].append(at[b])
-            near[at[b]].append(at[a])
         n = len(names)
+        linked = np.zeros((n, n))
+        i, j = pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy()
+        linked[i, j] = linked[j, i] = 1.0
         close, between = np.zeros(n), np.zeros(n)
-        for s in range(n):
-            dist, paths, order = np.full(n, -1), np.zeros(n), [s]
-            dist[s], paths[s] = 0, 1
-            for v in order:
-                for w in near[v]:
-                    if dist[w] < 0:
-                        dist[w] = dist[v] + 1
-                        order.append(w)
-                    if dist[w] == dist[v] + 1:
-                        paths[w] += paths[v]
-            reach = dist.sum() + 0.0
-            close[s] = (n - 1) / reach * (n - 1) / max(1, total - 1) if reach else 0.0
-            lean = np.zeros(n)
-            for w in reversed(order):
-                for v in near[w]:
-                    if dist[v] == dist[w] - 1:
-                        lean[v] += paths[v] / paths[w] * (1 + lean[w])
-                if w != s:
-                    between[w] += lean[w]
+        for first in range(0, n, 256):
+            block = np.arange(first, min(n, first + 256))
+            rows = np.arange(len(block))
+            dist = np.full((len(block), n), -1)
+            paths = np.zeros((len(block), n))
+            dist[rows, block], paths[rows, block] = 0, 1.0
+            depth = 0
+            while True:
+                step = np.where(dist == depth, paths, 0.0) @ linked  # paths into the next level
+                new = (dist < 0) & (step > 0)
+                if not new.any():
+                    break
+                depth += 1
+                dist[new], paths[new] = depth, step[new]
+            reach = dist.sum(axis=1)
+            close[block] = np.where(reach > 0, (n - 1) / np.maximum(reach, 1) * (n - 1) / max(1, total - 1), 0.0)
+            lean = np.zeros((len(block), n))
+            for level in range(depth, 0, -1):
+                share = np.divide(1 + lean, paths, out=np.zeros_like(lean), where=dist == level) @ linked
+                lean += np.where(dist == level - 1, paths * share, 0.0)
+            lean[rows, block] = 0.0
+            between += lean.sum(axis=0)
         scale = (total - 1) * (total - 2)
-        return pd.DataFrame({"node": names, "closeness": close, "betweenness": between / scale if scale > 0 else 0.0, "degree_centrality": [len(x) / max(1, total - 1) for x in near]})
+        return pd.DataFrame({"node": names, "closeness": close, "betweenness": between / scale if scale > 0 else 0.0, "degree_centrality": 2 * linked.sum(axis=1) / max(1, total - 1)})
 
     return inside.groupBy("component").applyInPandas(solve, f"node {kind}, closeness double, betweenness double, degree_centrality double")
 
 
+def bucket_count(*edges: DataFrame) -> int:
+    """The buckets that the degrees of these graphs take together."""
+    return max(histogram_length(degrees(e).agg(F.max("degree")).first()[0] or 0) for e in edges)
+
+
+def node_features(
+    nodes: DataFrame, edges: DataFrame, thresholds: list[float] = (0.0,), min_degree: int = 0, kinds: tuple[str, ...] = ("basic", "histograms", "egonets"), buckets: int | None = None
+) -> DataFrame:
+    """(node, features...): G7 and, by kind, G8 (buckets of either hop), G9 and the centralities of G10 (pagerank, eigenvector, paths).
+
+    All are joined by node to the basic ones; a feature that a node lacks is 0. Names end in the threshold in hundredths.
+    """
+    out = basic_features(nodes, edges, list(thresholds), min_degree)
+    more = []
+    n = (bucket_count(edges) if buckets is None else buckets) if "histograms" in kinds else 0
+    for t in thresholds:
+        x = round(100 * t)
+        if n:
+            each = [F.coalesce(F.sum(F.when((F.col("hop") == h) & (F.col("bucket") == b), F.col("n"))), F.lit(0).cast("long")).alias(f"degree_histo{h}_{b}_{x}") for h in (1, 2) for b in range(n)]
+            more.append(degree_histograms(edges, t).groupBy("node").agg(*each))
+        if "egonets" in kinds:
+            more.append(egonets(edges, t).withColumnsRenamed({c: f"{c}_{x}" for c in ("egonet_degree", "egonet_density")}))
+    more += [f(edges) for kind, f in (("pagerank", pagerank), ("eigenvector", eigenvector), ("paths", path_centralities)) if kind in kinds]
+    for one in more:
+        out = out.join(materialize(one, "features-of-a-kind"), "node", "left")
+    return out.na.fill(0, [c for c in out.columns if c != "node"])
+
+
 def random_walks(edges: DataFrame, walks: int = 20, length: int = 30, p: float = 0.9, q: float = 2.0, seed: int = 42) -> DataFrame:
     """(walk, path): second-order biased walks. Each step draws the smallest exponential key among the neighbours."""
     near = materialize(both_ways(edges).select("node", "other", "sim"), "adjacent")
@@ -255,13 +306,21 @@ def set_bits(signature: Column) -> Column:
     return F.filter(F.transform(signature, lambda b, i: F.when(b == 1, i)), lambda x: x.isNotNull())
 
 
+def calibration_features(df: DataFrame, kind: str) -> DataFrame:
+    """df with the vector `x` that a calibration of that kind takes."""
+    from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
+
+    flat = ["plain_sim"] if kind == "isotonic" else ["plain_sim", "union_size"]
+    data = VectorAssembler(inputCols=flat, outputCol="x0").transform(df)
+    return PolynomialExpansion(degree=2, inputCol="x0", outputCol="x").transform(data) if kind == "poly" else data.withColumnRenamed("x0", "x")
+
+
 def calibration(pairs: DataFrame, kind: str = "linear", per_class: int = 500, seed: int = 42):
     """A regression of the encoded on the plain similarity and the size of the union, and its errors on a quarter.
 
     pairs: plain_sim, union_size, enc_sim. At most per_class rows of each tenth of plain_sim are fitted (a stated bound), by a hash.
     Returns (model, metrics): model.transform needs a column `x` of features.
     """
-    from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
     from pyspark.ml.regression import IsotonicRegression, LinearRegression
 
     from linkveil.functions.columns import similarity_class
@@ -269,9 +328,7 @@ def calibration(pairs: DataFrame, kind: str = "linear", per_class: int = 500, se
     own = pairs.withColumn("c", similarity_class(F.col("plain_sim"))).where("c is not null")
     order = F.xxhash64("plain_sim", "union_size", "enc_sim", F.lit(seed))
     some = own.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(order))).where(F.col("r") <= per_class)
-    flat = ["plain_sim"] if kind == "isotonic" else ["plain_sim", "union_size"]
-    data = VectorAssembler(inputCols=flat, outputCol="x0").transform(some.select(*[F.col(c).cast("double") for c in ("plain_sim", "union_size", "enc_sim")], "r"))
-    data = PolynomialExpansion(degree=2, inputCol="x0", outputCol="x").transform(data) if kind == "poly" else data.withColumnRenamed("x0", "x")
+    data = calibration_features(some.select(*[F.col(c).cast("double") for c in ("plain_sim", "union_size", "enc_sim")], "r"), kind)
     data = materialize(data, "calibration")
     train, test = data.where("r % 4 <> 0"), data.where("r % 4 = 0")
     make = IsotonicRegression if kind == "isotonic" else LinearRegression

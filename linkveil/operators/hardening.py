@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkveil.functions.columns import grams_in_order, salted
+from linkveil.functions.columns import grams_in_order, let, salted
 
 
 def permutation(n: int, seed: int) -> list[int]:
@@ -22,10 +22,15 @@ def moved(pos: Column, to: list[int]) -> Column:
     return F.array_sort(F.transform(pos, lambda p: F.get(table, p)))
 
 
+def exclusive(a: Column, b: Column) -> Column:
+    """Sorted elements of one of two sets alone."""
+    return F.array_sort(F.array_except(F.array_union(a, b), F.array_intersect(a, b)))
+
+
 def balance(pos: Column, bf_len: int, seed: int | None = None) -> Column:
     """The filter and its complement one after the other: length doubles, weight is bf_len; permuted if a seed is given."""
     every = F.sequence(F.lit(0), F.lit(bf_len - 1))
-    both = F.concat(pos, F.transform(F.array_except(every, pos), lambda p: p + bf_len))
+    both = let(pos, lambda x: F.concat(x, F.transform(F.array_except(every, x), lambda p: p + bf_len)))
     return F.array_sort(both) if seed is None else moved(both, permutation(2 * bf_len, seed))
 
 
@@ -34,16 +39,18 @@ def fold(pos: Column, bf_len: int) -> Column:
     if bf_len % 2:
         raise ValueError("only a filter of even length folds")
     half = bf_len // 2
-    low = F.filter(pos, lambda p: p < half)
-    high = F.transform(F.filter(pos, lambda p: p >= half), lambda p: p - half)
-    return F.array_sort(F.array_except(F.array_union(low, high), F.array_intersect(low, high)))
+
+    def halves(x: Column) -> Column:
+        low, high = F.filter(x, lambda p: p < half), F.transform(F.filter(x, lambda p: p >= half), lambda p: p - half)
+        return F.array(low, high)
+
+    return let(let(pos, halves), lambda h: exclusive(h[0], h[1]))
 
 
 def rule_90(pos: Column, bf_len: int) -> Column:
     """Every bit becomes the XOR of its neighbours, around the ends."""
-    right = F.transform(pos, lambda p: F.pmod(p + 1, F.lit(bf_len)))
-    left = F.transform(pos, lambda p: F.pmod(p - 1, F.lit(bf_len)))
-    return F.array_sort(F.array_except(F.array_union(left, right), F.array_intersect(left, right)))
+    moved_by = lambda x, d: F.transform(x, lambda p: F.pmod(p + d, F.lit(bf_len)))
+    return let(let(pos, lambda x: F.array(moved_by(x, -1), moved_by(x, 1))), lambda s: exclusive(s[0], s[1]))
 
 
 def transitions(df: DataFrame, value: str, q: int, padded: bool = False) -> DataFrame:

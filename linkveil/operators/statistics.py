@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkveil.functions.columns import let
+
 
 def gram_values(records: DataFrame) -> DataFrame:
-    """A3: (gram, values): the distinct values that hold each q-gram. records: rec_id, value, grams."""
-    return records.select(F.explode("grams").alias("gram"), "value").groupBy("gram").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    """A3: (gram, value), distinct: the values that hold each q-gram, a row each, for a common q-gram is in most of them."""
+    return records.select(F.explode("grams").alias("gram"), "value").distinct()
 
 
 def value_index(records: DataFrame) -> DataFrame:
-    """A3: (value, ids, n, grams); n counts every row, ids distinct ones."""
-    return records.groupBy("value").agg(F.array_sort(F.collect_set("rec_id")).alias("ids"), F.count("*").alias("n"), F.first("grams").alias("grams"))
+    """A3: (value, n, n_ids, grams); n counts every row, n_ids distinct ids. The ids themselves: value_id_pairs."""
+    pairs = records.groupBy("value", "rec_id").agg(F.count("*").alias("m"), F.first("grams").alias("grams"))
+    return pairs.groupBy("value").agg(F.sum("m").alias("n"), F.count("*").alias("n_ids"), F.first("grams").alias("grams"))
+
+
+def value_id_pairs(records: DataFrame) -> DataFrame:
+    """A3: (value, rec_id), distinct."""
+    return records.select("value", "rec_id").distinct()
 
 
 def unique_grams(records: DataFrame) -> DataFrame:
@@ -49,14 +58,17 @@ def column_patterns(encoded: DataFrame, key: str = "rec_id", bits: str = "bits")
     return frequency_of_frequency(columns, F.struct("x", "y", "w"))
 
 
+def sampled_positions(bf_len: int, size: int, samples: int, seed: int) -> list[list[int]]:
+    draw = random.Random(seed)
+    return [sorted(draw.sample(range(bf_len), size)) for _ in range(samples)]
+
+
 def sampled_weights(encoded: DataFrame, bf_len: int, size: int = 2, samples: int = 100, seed: int = 42) -> DataFrame:
     """(and_mean, and_std, xor_mean, xor_std) of the Hamming weights of random pairs or triples of bit columns."""
-    import random
-
-    draw = random.Random(seed)
-    combos = [sorted(draw.sample(range(bf_len), size)) for _ in range(samples)]
-    got = [F.aggregate(F.array(*[F.array_contains("bits", p).cast("int") for p in c]), F.lit(0), lambda s, x: s + x) for c in combos]
-    one = encoded.select(F.array(*got).alias("hits")).select(F.posexplode("hits").alias("c", "h"))
+    combos = sampled_positions(bf_len, size, samples, seed)
+    table = F.array(*[F.array(*map(F.lit, c)) for c in combos])
+    hits = let(F.col("bits"), lambda x: F.transform(table, lambda c: F.size(F.array_intersect(c, x))))
+    one = encoded.select(hits.alias("hits")).select(F.posexplode("hits").alias("c", "h"))
     each = one.groupBy("c").agg(F.sum((F.col("h") == size).cast("int")).alias("a"), F.sum((F.col("h") % 2).cast("int")).alias("x"))
     return each.agg(F.avg("a").alias("and_mean"), F.stddev_pop("a").alias("and_std"), F.avg("x").alias("xor_mean"), F.stddev_pop("x").alias("xor_std"))
 

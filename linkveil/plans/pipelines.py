@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkveil.functions import columns as c
 from linkveil.operators import blocking, encoders, evaluate, frequency, graph, matching, mining
+from linkveil.operators.statistics import ranked_accuracy
 from linkveil.session import materialize
 from linkveil.sources.tables import status_row
 
@@ -104,7 +107,10 @@ class GraphParams:
     weights: tuple[tuple[float, float, float], ...] = graph.WEIGHT_SETS
     blocking: str = "grams"  # grams: by the true q-grams, as an evaluator knows them; bits: by the filters alone
     similarity: str = "dice"
+    features: tuple[str, ...] = ("basic", "histograms", "egonets")
+    calibrate: str = "none"  # none | linear | poly | isotonic
     seed: int = 42
+    at_once: int = 8  # matchers that run side by side
 
 
 #: Profiles by kind of data set: the least degree and the length of signatures.
@@ -124,12 +130,31 @@ def _side(df: DataFrame, p: GraphParams, encoded: bool) -> tuple[DataFrame, Data
     return nodes, materialize(edges, "edges")
 
 
+def calibrated(nodes: DataFrame, edges: DataFrame, p: GraphParams) -> DataFrame:
+    """Plain edges with the similarity that their filters are expected to have; those below min_sim go.
+
+    nodes have the q-grams and the filters of the plain values, which the analyst can encode.
+    """
+    a = nodes.select(F.col("node").alias("src"), F.col("grams").alias("ga"), F.col("bits").alias("ba"))
+    b = nodes.select(F.col("node").alias("dst"), F.col("grams").alias("gb"), F.col("bits").alias("bb"))
+    pairs = edges.join(a, "src").join(b, "dst").select(
+        "src", "dst", F.col("sim").alias("plain_sim"), F.size(F.array_union("ga", "gb")).cast("double").alias("union_size"), c.SIMILARITIES[p.similarity](F.col("ba"), F.col("bb")).alias("enc_sim")
+    )
+    pairs = materialize(pairs, "calibration-pairs")
+    model, _ = graph.calibration(pairs, p.calibrate, seed=p.seed)
+    guess = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("guess")))
+    return model.transform(graph.calibration_features(pairs, p.calibrate)).select("src", "dst", guess.alias("sim")).where(F.col("sim") >= p.min_sim)
+
+
 def graph_analysis(encoded: DataFrame, plain: DataFrame, p: GraphParams) -> DataFrame:
     """P10: (matcher, weights, top, n, right) of matching the nodes of the two similarity graphs by their features."""
     nodes_p, edges_p = _side(plain, p, False)
     nodes_e, edges_e = _side(encoded, p, True)
+    if p.calibrate != "none":
+        edges_p = materialize(calibrated(nodes_p, edges_p, p), "calibrated")
     edges_p, edges_e = (materialize(graph.large_components(x, p.min_degree), "large") for x in (edges_p, edges_e))
-    f_p, f_e = (graph.basic_features(n, x, list(p.thresholds), p.min_degree) for n, x in ((nodes_p, edges_p), (nodes_e, edges_e)))
+    buckets = graph.bucket_count(edges_p, edges_e)
+    f_p, f_e = (graph.node_features(n, x, list(p.thresholds), p.min_degree, p.features, buckets) for n, x in ((nodes_p, edges_p), (nodes_e, edges_e)))
     names = [x for x in f_p.columns if x != "node"]
     f_p, f_e = (materialize(x, "features") for x in graph.normalised(materialize(f_p, "raw"), materialize(f_e, "raw"), names))
     names = graph.chosen_features(f_p.unionByName(f_e), names, "nonzero")
@@ -143,14 +168,14 @@ def graph_analysis(encoded: DataFrame, plain: DataFrame, p: GraphParams) -> Data
     a, b = v_p.select(F.col("node").alias("plain"), F.col("features").alias("x")), v_e.select(F.col("node").alias("enc"), F.col("features").alias("y"))
     cosines = pairs.join(a, "plain").join(b, "enc").select("plain", "enc", c.angle_similarity(F.col("x"), F.col("y")).alias("cos")).where(F.col("cos") >= p.least_cosine)
     cosines = materialize(cosines, "cosines")
-    out = None
-    for weights in p.weights:
-        scored = materialize(graph.confidences(cosines, weights), "scored").select("plain", "enc", "score")
-        for name in p.matchers:
-            got = materialize(matching.MATCHERS[name](scored), "matches")
-            judged = evaluate.match_truth(got, nodes_p, nodes_e)
-            from linkveil.operators.statistics import ranked_accuracy
-
-            one = ranked_accuracy(judged, "score", "same", ["plain", "enc"]).select(F.lit(name).alias("matcher"), F.lit(str(weights)).alias("weights"), "top", "n", "right")
-            out = one if out is None else out.unionByName(one)
-    return out
+    scored = {w: materialize(graph.confidences(cosines, w), "scored").select("plain", "enc", "score") for w in p.weights}
+
+    def run(weights: tuple[float, ...], name: str) -> DataFrame:
+        got = materialize(matching.MATCHERS[name](scored[weights]), "matches")
+        judged = evaluate.match_truth(got, nodes_p, nodes_e)
+        return ranked_accuracy(judged, "score", "same", ["plain", "enc"]).select(F.lit(name).alias("matcher"), F.lit(str(weights)).alias("weights"), "top", "n", "right")
+
+    # matchers wait for many small jobs one after another: those of several run side by side
+    with ThreadPoolExecutor(max_workers=p.at_once) as pool:
+        parts = list(pool.map(run, *zip(*[(w, m) for w in p.weights for m in p.matchers], strict=True)))
+    return reduce(DataFrame.unionByName, parts)

@@ -1,6 +1,6 @@
 """Queries of the engine's own operators on the test tables, with their DuckDB SQL where SQL can express them.
 
-Plain and encoded records: all of `part`, values from p_name and p_type, salt p_size.
+Plain records: all of `part`, values from p_name and p_type, salt p_size; encoded ones: those with an even p_partkey.
 Results hold scalar columns; sets are joined strings; floats are rounded to six digits on both sides.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkveil.functions import columns as c
+from linkveil.functions import hashing
 from linkveil.operators import blocking, encoders, evaluate, frequency, graph, hardening, matching, mining, statistics
 from linkveil.operators.components import connected_components
 from linkveil.plans import pipelines
@@ -43,7 +44,8 @@ def plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, d: str) -> DataFrame:
-    return plain(spark, d)
+    """The half of the records with an even number."""
+    return plain(spark, d).where("cast(rec_id as long) % 2 = 0")
 
 
 def with_grams(df: DataFrame, value: str = "rec_val") -> DataFrame:
@@ -70,14 +72,14 @@ def r6(col):
 # -- SQL pieces
 
 P = "p AS (SELECT CAST(p_partkey AS VARCHAR) AS rec_id, lower(trim(p_name)) AS a0, lower(trim(p_type)) AS a1, lower(trim(p_brand)) AS a2, lower(trim(p_name)) || ' ' || lower(trim(p_type)) AS rec_val, CAST(p_size AS VARCHAR) AS salt, p_partkey FROM part)"
-EN = "e AS (SELECT * FROM p)"
+EN = "e AS (SELECT * FROM p WHERE p_partkey % 2 = 0)"
 
 
 def grams_sql(v: str, q: int = Q) -> str:
     return f"list_transform(range(1, length({v}) - {q} + 2), lambda i: substr({v}, i, {q}))"
 
 
-def fold_sql(h: str, n: int) -> str:
+def fold_sql(h: str, n: int | str) -> str:
     return f"list_reduce(list_transform(range(1, length({h}) + 1), lambda i: CAST(strpos('0123456789abcdef', substr({h}, i, 1)) - 1 AS BIGINT)), lambda a, b: (a * 16 + b) % {n})"
 
 
@@ -108,7 +110,7 @@ def load_filter(spark, d):
 
 @query("value_ids", f"WITH {P} SELECT rec_val, count(*) AS n, count(DISTINCT rec_id) AS n_ids, min(rec_id) AS first_id FROM p GROUP BY rec_val")
 def value_ids(spark, d):
-    return tables.value_ids(plain(spark, d)).select("rec_val", "n", F.size("ids").cast("long").alias("n_ids"), F.get("ids", F.lit(0)).alias("first_id"))
+    return tables.value_ids(plain(spark, d))
 
 
 @query("qgram_sets", f"WITH {RG} SELECT rec_id, string_agg(gram, '|' ORDER BY gram) AS grams, count(*) AS n FROM g GROUP BY rec_id")
@@ -123,7 +125,9 @@ def avg_qgrams(spark, d):
 
 @query("opt_k", f"WITH {RG} SELECT CAST(round(ln(2) * {L} / avg(n)) AS BIGINT) AS k FROM (SELECT count(*) AS n FROM g GROUP BY rec_id)")
 def opt_k(spark, d):
-    return with_grams(plain(spark, d)).agg(F.bround(F.lit(0.6931471805599453 * L) / F.avg(F.size("grams"))).cast("long").alias("k"))
+    rows = plain(spark, d)
+    e = encoders.with_optimal_k(rows, encoders.Encoding(("rec_val",), Q, False, L))
+    return spark.createDataFrame([(e.k,)], "k long")
 
 
 @query("freq_of_freq_values", f"WITH {P} SELECT f AS frequency, count(*) AS n FROM (SELECT count(*) AS f FROM p GROUP BY rec_val) GROUP BY f")
@@ -144,12 +148,26 @@ def bf_edh(spark, d):
     return as_bits(plain(spark, d), encoders.Encoding(("a0",), Q, False, L, K, "edh"))
 
 
-@query("bf_th")
+#: Pairs of the characters that names have.
+PAIRS = [a + b for a in "abcdefghijklmnopqrstuvwxyz " for b in "abcdefghijklmnopqrstuvwxyz "]
+
+
+def _sha224_sql() -> str:
+    import hashlib
+
+    return ", ".join(f"('{g}', {int(hashlib.sha224(g.encode()).hexdigest(), 16) % L})" for g in PAIRS)
+
+
+@query("bf_th", f"WITH {P}, s AS (SELECT * FROM p), {gram_hash_sql(['a0'], L)}, sh(gram, h3) AS (VALUES {_sha224_sql()}), b AS (SELECT DISTINCT rec_id, CAST((h1 + i * h2 + (i * (i - 1) // 2) * h3) % {L} AS INTEGER) AS pos FROM rg JOIN gx USING (gram) JOIN sh USING (gram), (SELECT unnest(range(1, {K + 1})) AS i)) {JOINED.format('b')}")
 def bf_th(spark, d):
     return as_bits(plain(spark, d), encoders.Encoding(("a0",), Q, False, L, K, "th"))
 
 
-@query("bf_rh")
+def _twister_sql() -> str:
+    return ", ".join(f"('{g}', {p})" for g in PAIRS for p in sorted(set(hashing.twister_positions(g, L, K))))
+
+
+@query("bf_rh", f"WITH {P}, g AS (SELECT DISTINCT rec_id, unnest({grams_sql('a0')}) AS gram FROM p), tw(gram, pos) AS (VALUES {_twister_sql()}), b AS (SELECT DISTINCT rec_id, pos FROM g JOIN tw USING (gram)) {JOINED.format('b')}")
 def bf_rh(spark, d):
     return as_bits(plain(spark, d), encoders.Encoding(("a0",), Q, False, L, K, "rh"))
 
@@ -191,11 +209,26 @@ def enc_rbf(spark, d):
     return as_bits(plain(spark, d), encoders.Encoding(("a0", "a1"), Q, False, L, K, kind="rbf")).where("n_bits > 0")
 
 
-@query("enc_rbf_dyn")
+def _dynamic_maps() -> str:
+    """Record bits by attribute and filter length, over lengths about those that these tables give."""
+    rows = []
+    for l0, l1 in zip(range(110, 126), range(65, 81), strict=True):
+        rows += [(a, (l0, l1)[a], b, r) for a, b, r in encoders.rbf_map([l0, l1], [0.5, 0.5], L)]
+    return ", ".join(f"({a}, {n}, {b}, {r})" for a, n, b, r in rows)
+
+
+DYN = f"n AS (SELECT CAST(round(1 / (1 - pow(0.5, 1 / ({K} * avg(len(list_distinct({grams_sql('a0')})))))) ) AS BIGINT) AS l0, CAST(round(1 / (1 - pow(0.5, 1 / ({K} * avg(len(list_distinct({grams_sql('a1')})))))) ) AS BIGINT) AS l1 FROM p)"
+
+
+@query(
+    "enc_rbf_dyn",
+    f"WITH {P}, {DYN}, rg AS (SELECT DISTINCT * FROM (SELECT rec_id, 0 AS attr, unnest({grams_sql('a0')}) AS gram FROM p UNION ALL SELECT rec_id, 1, unnest({grams_sql('a1')}) FROM p)), gx AS (SELECT attr, gram, l, {fold_sql('sha1(gram)', 'l')} AS h1, {fold_sql('md5(gram)', 'l')} AS h2 FROM (SELECT DISTINCT attr, gram, CASE WHEN attr = 0 THEN l0 ELSE l1 END AS l FROM rg, n)), ab AS (SELECT DISTINCT rec_id, attr, l, (h1 + i * h2) % l AS bit FROM rg JOIN gx USING (attr, gram), (SELECT unnest(range(1, {K + 1})) AS i)), m(attr, l, bit, pos) AS (VALUES {_dynamic_maps()}), b AS (SELECT DISTINCT rec_id, pos FROM ab JOIN m USING (attr, l, bit)) SELECT rec_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS bits FROM b GROUP BY rec_id",
+)
 def enc_rbf_dyn(spark, d):
     p = plain(spark, d)
     e = encoders.Encoding(("a0", "a1"), Q, False, L, K, kind="rbf")
-    return p.select("rec_id", encoders.rbf(p, e, [0.5, 0.5], dynamic=True).alias("x")).select("rec_id", joined("x").alias("bits"))
+    x = encoders.rbf(p, e, [0.5, 0.5], dynamic=True, how=encoders.from_dictionary(p, e))
+    return p.select("rec_id", x.alias("x")).select("rec_id", joined("x").alias("bits"))
 
 
 @query(
@@ -222,7 +255,7 @@ def hard_balance(spark, d):
     return both.select("rec_id", F.size("x").cast("long").alias("n_bits"), F.aggregate("x", F.lit(0).cast("long"), lambda s, p: s + p).alias("s"), F.array_min("x").alias("lo"), F.array_max("x").alias("hi"))
 
 
-@query("hard_balance_permuted")
+@query("hard_balance_permuted", f"WITH {bits_sql(['a0'])}, {BALANCED}, pm(q, pos) AS (VALUES {', '.join(f'({q}, {r})' for q, r in enumerate(hardening.permutation(2 * L, 42)))}), y AS (SELECT rec_id, pm.pos AS pos FROM x JOIN pm ON pm.q = x.pos) {JOINED.format('y')}")
 def hard_balance_permuted(spark, d):
     return as_bits(plain(spark, d), encoders.Encoding(("a0",), Q, False, L, K, harden="balance"))
 
@@ -260,7 +293,7 @@ def markov_prob(spark, d):
     return hardening.markov_extras(model, 3, "prob").select("g1", F.array_join("extra", "|").alias("extra"))
 
 
-@query("hard_markov")
+@query("hard_markov", f"WITH {MARKOV}, ex AS (SELECT g1, g2 FROM (SELECT *, row_number() OVER (PARTITION BY g1 ORDER BY prob DESC, g2) AS r FROM m) WHERE r <= 2), g AS (SELECT DISTINCT rec_id, gram FROM (SELECT rec_id, unnest({grams_sql('a0')}) AS gram FROM p UNION ALL SELECT rec_id, unnest({grams_sql('a1')}) FROM p)), rg AS (SELECT rec_id, gram FROM g UNION SELECT rec_id, g2 FROM g JOIN ex ON g1 = gram), gx AS (SELECT gram, {fold_sql('sha1(gram)', L)} AS h1, {fold_sql('md5(gram)', L)} AS h2 FROM (SELECT DISTINCT gram FROM rg)), b AS (SELECT DISTINCT rec_id, CAST((h1 + i * h2) % {L} AS INTEGER) AS pos FROM rg JOIN gx USING (gram), (SELECT unnest(range(1, {K + 1})) AS i)) {JOINED.format('b')}")
 def hard_markov(spark, d):
     return as_bits(plain(spark, d), encoders.Encoding(("a0", "a1"), Q, False, L, K, harden="markov"))
 
@@ -280,7 +313,7 @@ def val_freq(spark, d):
 
 @query("gram_values", f"WITH {RG} SELECT gram, count(DISTINCT rec_val) AS n_values, min(rec_val) AS first_value FROM g GROUP BY gram")
 def gram_values(spark, d):
-    return statistics.gram_values(with_grams(plain(spark, d))).select("gram", F.size("values").cast("long").alias("n_values"), F.get("values", F.lit(0)).alias("first_value"))
+    return statistics.gram_values(with_grams(plain(spark, d))).groupBy("gram").agg(F.count("*").alias("n_values"), F.min("value").alias("first_value"))
 
 
 @query(
@@ -313,9 +346,13 @@ def row_weights(spark, d):
     return statistics.weight_summary(w, "weight").select("least", r6("mean").alias("mean"), r6("std").alias("std"), "most")
 
 
-@query("sampled_weights")
+COMBOS = ", ".join(f"({c}, {p})" for c, ps in enumerate(statistics.sampled_positions(L, 2, 100, 42)) for p in ps)
+
+
+@query("sampled_weights", f"WITH {bits_sql(['a0', 'a1'])}, co(c, pos) AS (VALUES {COMBOS}), h AS (SELECT c, rec_id, count(b.pos) AS h FROM co JOIN b USING (pos) GROUP BY c, rec_id), w AS (SELECT co.c AS c, count(h.h) FILTER (h.h = 2) AS a, count(h.h) FILTER (h.h = 1) AS x FROM (SELECT DISTINCT c FROM co) co LEFT JOIN h ON h.c = co.c GROUP BY co.c) SELECT round(avg(a), 6) AS and_mean, round(stddev_pop(a), 6) AS and_std, round(avg(x), 6) AS xor_mean, round(stddev_pop(x), 6) AS xor_std FROM w")
 def sampled_weights(spark, d):
-    return statistics.sampled_weights(encoders.encode(plain(spark, d), E_BOTH), L)
+    got = statistics.sampled_weights(encoders.encode(plain(spark, d), E_BOTH), L)
+    return got.select(*[r6(c).alias(c) for c in got.columns])
 
 
 @query("other_grams", f"WITH {RG}, m AS (SELECT rec_id FROM g GROUP BY rec_id HAVING bool_or(gram = 're') AND NOT bool_or(gram = 'ro')) SELECT gram, count(*) AS n FROM g JOIN m USING (rec_id) WHERE gram <> 're' GROUP BY gram")
@@ -338,7 +375,7 @@ def lang_all(spark, d):
     return m.select(F.array_join("included", "|").alias("key"), "n", "gram", "n_gram")
 
 
-@query("lang_tuple")
+@query("lang_tuple", f"WITH {RG}, o AS (SELECT rec_id, list(gram ORDER BY gram) AS own FROM g WHERE gram IN ('re', 'ed', 'la') GROUP BY rec_id), ss(key, need) AS (VALUES ('ed|la', ['ed', 'la']), ('ed|re', ['ed', 're']), ('la|re', ['la', 're']), ('ed|la|re', ['ed', 'la', 're'])), k AS (SELECT rec_id, key FROM o, ss WHERE list_has_all(own, need)), n AS (SELECT key, count(*) AS n FROM k GROUP BY key), x AS (SELECT key, g.gram AS gram, count(*) AS n_gram FROM k JOIN g USING (rec_id) WHERE g.gram NOT IN ('re', 'ed', 'la') GROUP BY 1, 2) SELECT key, n, gram, n_gram FROM n JOIN x USING (key)")
 def lang_tuple(spark, d):
     m = statistics.language_model(with_grams(plain(spark, d)), FREQUENT, "tuple")
     return m.select(F.array_join("included", "|").alias("key"), "n", "gram", "n_gram")
@@ -373,20 +410,37 @@ def guesses(spark, d) -> DataFrame:
     return frequency.reconstruct(enc, weights, plain(spark, d).select("value"), 20)
 
 
+def guesses_sql(top: int, ranks: int = 1 << 30) -> str:
+    """rc (enc_id, true_value, gs): guesses among the top values, from the alignments of the first ranks."""
+    possible = POSSIBLE.replace(" WHERE NOT tied)", f" WHERE NOT tied AND rank < {ranks})")
+    return (
+        f"{possible}, ca AS (SELECT value FROM vf ORDER BY n DESC, value LIMIT {top}), fi AS (SELECT a0 AS true_value, min(rec_id) AS enc_id FROM e WHERE a0 IN (SELECT value FROM ca) GROUP BY a0), gp AS (SELECT pos, list(gram) AS gs FROM w GROUP BY pos), "
+        "bad AS (SELECT DISTINCT pos, value FROM gp, ca WHERE len(list_filter(gs, lambda x: contains(value, x))) = 0), ok AS (SELECT enc_id, true_value, value FROM fi, ca WHERE NOT EXISTS (SELECT 1 FROM b JOIN bad ON b.pos = bad.pos WHERE b.rec_id = fi.enc_id AND bad.value = ca.value)), "
+        "rc AS (SELECT enc_id, true_value, list(value) FILTER (value IS NOT NULL) AS gs FROM fi LEFT JOIN ok USING (enc_id, true_value) GROUP BY 1, 2)"
+    )
+
+
+GUESSES = guesses_sql(20)
+COUNTED = "count(*) FILTER (len(gs) = 1 AND list_contains(gs, true_value)) AS exact, count(*) FILTER (len(gs) > 1 AND list_contains(gs, true_value)) AS correct, count(*) FILTER (len(gs) > 0 AND NOT list_contains(gs, true_value)) AS wrong, count(*) FILTER (coalesce(len(gs), 0) = 0) AS no_guess"
+
+
 @query("reconstruct", f"WITH {POSSIBLE}, ca AS (SELECT value FROM vf ORDER BY n DESC, value LIMIT 20), fi AS (SELECT a0 AS true_value, min(rec_id) AS enc_id FROM e WHERE a0 IN (SELECT value FROM ca) GROUP BY a0), gp AS (SELECT pos, list(gram) AS gs FROM w GROUP BY pos), bad AS (SELECT DISTINCT pos, value FROM gp, ca WHERE len(list_filter(gs, lambda x: contains(value, x))) = 0), ok AS (SELECT enc_id, true_value, value FROM fi, ca WHERE NOT EXISTS (SELECT 1 FROM b JOIN bad ON b.pos = bad.pos WHERE b.rec_id = fi.enc_id AND bad.value = ca.value)) SELECT enc_id, true_value, coalesce(string_agg(value, '|' ORDER BY value), '') AS guesses FROM fi LEFT JOIN ok USING (enc_id, true_value) GROUP BY 1, 2")
 def reconstruct(spark, d):
     return guesses(spark, d).select("enc_id", "true_value", F.array_join(F.array_sort("guesses"), "|").alias("guesses"))
 
 
-@query("guess_counts")
+@query("guess_counts", f"WITH {GUESSES} SELECT {COUNTED} FROM rc")
 def guess_counts(spark, d):
     return frequency.guess_counts(guesses(spark, d))
 
 
-@query("frequency_analysis")
+@query("frequency_analysis", " UNION ALL ".join(f"SELECT * FROM (WITH {guesses_sql(t, t)} SELECT {t} AS top, least({t}, (SELECT count(*) FROM al)) AS aligned, {COUNTED} FROM rc HAVING (SELECT count(*) FROM al) > 0)" for t in (50, 20, 10)))
 def frequency_analysis(spark, d):
     p = pipelines.FrequencyParams(E_NAME, 1, (50, 20, 10))
-    return pipelines.frequency_analysis(encoded(spark, d), plain(spark, d), p)
+    got = pipelines.frequency_analysis(encoded(spark, d), plain(spark, d), p)
+    if "stop_reason" in got.columns:  # nothing aligned: no rows
+        got = spark.createDataFrame([], "top int, aligned long, exact long, correct long, wrong long, no_guess long")
+    return got.withColumn("aligned", F.col("aligned").cast("long"))
 
 
 # -- mining
@@ -398,6 +452,11 @@ def freq_pos_pairs(spark, d):
     return mining.frequent_pairs(e, 20)
 
 
+#: Every frequent set of positions with its rows as bits, grown by its largest position.
+SETS = f"{bits_sql(['a0', 'a1'], 64, 2)}, rn AS (SELECT rec_id, CAST(row_number() OVER (ORDER BY rec_id) AS INTEGER) AS r FROM (SELECT DISTINCT rec_id FROM b)), lt AS (SELECT greatest(1, CAST(floor(count(*) * 0.6) AS BIGINT)) AS least FROM p), sp AS (SELECT pos, bitstring_agg(r, 0, 32767) AS rows FROM b JOIN rn USING (rec_id) GROUP BY pos HAVING count(*) >= (SELECT least FROM lt)), fs AS (SELECT [pos] AS items, rows FROM sp UNION ALL SELECT list_append(fs.items, sp.pos), fs.rows & sp.rows FROM fs JOIN sp ON sp.pos > fs.items[-1], lt WHERE bit_count(fs.rows & sp.rows) >= least), it AS (SELECT items, bit_count(rows) AS n FROM fs)"
+LONGEST = f"WITH RECURSIVE {SETS} SELECT array_to_string(items, ',') AS items, n FROM it WHERE len(items) = (SELECT max(len(items)) FROM it)"
+
+
 def _longest(spark, d, method):
     e = encoders.encode(plain(spark, d), E_SMALL)
     rows = materialize(e.select("rec_id", "bits"), "small")
@@ -405,17 +464,17 @@ def _longest(spark, d, method):
     return spark.createDataFrame([(",".join(map(str, k)), n) for k, n in sorted(got.items())], "items string, n long")
 
 
-@query("longest_tuple")
+@query("longest_tuple", LONGEST)
 def longest_tuple(spark, d):
     return _longest(spark, d, "maximal")
 
 
-@query("longest_tuple_apriori")
+@query("longest_tuple_apriori", LONGEST)
 def longest_tuple_apriori(spark, d):
     return _longest(spark, d, "apriori")
 
 
-@query("longest_tuple_fpgrowth")
+@query("longest_tuple_fpgrowth", LONGEST)
 def longest_tuple_fpgrowth(spark, d):
     return _longest(spark, d, "fpgrowth")
 
@@ -461,7 +520,7 @@ def setinter(spark, d):
     return mining.set_intersection(assigned(spark, d), distinct_values(spark, d))
 
 
-@query("bf_tuple")
+@query("bf_tuple", f"WITH {ASSIGNED}, fk AS (SELECT rec_id, string_agg(gram, '|' ORDER BY gram) AS key FROM hit GROUP BY rec_id), ky AS (SELECT DISTINCT key FROM fk), hv AS (SELECT value, key, len(string_split(key, '|')) AS n FROM va, ky WHERE len(list_filter(string_split(key, '|'), lambda x: NOT contains(value, x))) = 0), tp AS (SELECT value, max(key) AS key FROM (SELECT *, rank() OVER (PARTITION BY value ORDER BY n DESC) AS r FROM hv) WHERE r = 1 GROUP BY value HAVING count(*) = 1) SELECT key, rec_id, value FROM tp JOIN fk USING (key)")
 def bf_tuple(spark, d):
     return mining.tuple_match(assigned(spark, d), known_positions(), distinct_values(spark, d), 1).select(F.array_join("key", "|").alias("key"), "rec_id", "value")
 
@@ -479,7 +538,17 @@ def _guess_rows(spark, d) -> DataFrame:
     return enc.join(got, "rec_id", "left").withColumn("n_grams", F.size(c.gram_set(F.col("value"), Q)))
 
 
-@query("guess_accuracy")
+GUESS_ROWS = (
+    f"si AS (SELECT h.rec_id, value FROM (SELECT DISTINCT rec_id FROM hit) h, va WHERE NOT EXISTS (SELECT 1 FROM kn WHERE contains(value, kn.gram) <> EXISTS (SELECT 1 FROM hit WHERE hit.rec_id = h.rec_id AND hit.gram = kn.gram))), "
+    f"hw AS (SELECT rec_id, count(*) AS hw FROM b GROUP BY rec_id), lb AS (SELECT rec_id, floor(hw / {K}) AS lo, 2 * ln(1 - hw / {L}.0) / ln(1 - 1 / {L}.0) / {K} - floor(hw / {K}) AS hi FROM hw), "
+    f"gr AS (SELECT e.rec_id, a0 AS t, value, len(list_distinct({grams_sql('value')})) BETWEEN lo AND hi AS inside FROM e JOIN lb USING (rec_id) LEFT JOIN si USING (rec_id)), "
+    "tk AS (SELECT *, len(list_intersect(string_split(t, ' '), string_split(value, ' '))) / len(list_distinct(string_split(t, ' '))) AS part FROM gr), "
+    "each AS (SELECT f AS filter, rec_id, count(DISTINCT value) FILTER (f = 'all' OR inside) AS n, coalesce(bool_or(value = t) FILTER (f = 'all' OR inside), FALSE) AS exact, coalesce(max(part) FILTER (f = 'all' OR inside), 0) AS part FROM tk, (SELECT unnest(['all', 'length']) AS f) GROUP BY f, rec_id) "
+    "SELECT filter, outcome, count(*) AS n, round(avg(CASE WHEN exact THEN 1.0 ELSE part END), 6) AS accuracy FROM (SELECT *, CASE WHEN n = 0 THEN 'no_guess' WHEN n > 10 THEN 'too_many' ELSE CASE WHEN n = 1 THEN '1-1' ELSE '1-m' END || CASE WHEN exact THEN ' exact' WHEN part > 0 THEN ' partial' ELSE ' wrong' END END AS outcome FROM each) GROUP BY 1, 2"
+)
+
+
+@query("guess_accuracy", f"WITH {ASSIGNED}, {GUESS_ROWS}")
 def guess_accuracy(spark, d):
     return evaluate.guess_accuracy(_guess_rows(spark, d)).withColumn("accuracy", r6("accuracy"))
 
@@ -495,29 +564,49 @@ def mining_analysis(spark, d):
 
 
 def name_values(spark, d) -> DataFrame:
-    """Distinct values of a name and a brand, with their q-grams."""
-    v = plain(spark, d).select(F.concat_ws(" ", "a0", "a2").alias("v")).distinct()
+    """Distinct values of a name, a brand and a type, with their q-grams."""
+    v = plain(spark, d).select(F.concat_ws(" ", "a0", "a2", "a1").alias("v")).distinct()
     return v.select("v", F.col("v").alias("node"), c.gram_set(F.col("v"), Q).alias("grams"))
 
 
-@query("soundex_block")
+def soundex_sql(text: str) -> str:
+    """The code of a lower-cased value; a digit equal to the one before it goes."""
+    digits = f"string_split(translate(regexp_replace(substr({text}, 2), '[^{''.join(sorted(c.SOUNDEX_DIGITS))}]', '', 'g'), '{''.join(c.SOUNDEX_DIGITS)}', '{''.join(c.SOUNDEX_DIGITS.values())}'), '')"
+    return f"CASE WHEN {text} = '' THEN 'z000' ELSE rpad(substr({text}, 1, 1) || list_aggregate(list_filter({digits}, lambda x, i: i = 1 OR x <> {digits}[i - 1]), 'string_agg', ''), 4, '0') END"
+
+
+@query("soundex_block", f"WITH {P} SELECT {soundex_sql('a0')} || '-' || {soundex_sql('a1')} AS block, count(*) AS n FROM p GROUP BY 1")
 def soundex_block(spark, d):
     return blocking.soundex_blocks(plain(spark, d), "rec_id", ["a0", "a1"]).groupBy("block").agg(F.count("*").alias("n"))
 
 
+def minhash_sql() -> str:
+    """Signatures over a table of the CRC-32 of every pair of the characters that values have."""
+    import zlib
+
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789 #"
+    crcs = ", ".join(f"('{a}{b}', {zlib.crc32((a + b).encode())})" for a in letters for b in letters)
+    rows = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(blocking.minhash_coefficients(200)))
+    return f"{NV}, cr(gram, x) AS (VALUES {crcs}), cf(i, a, b) AS (VALUES {rows}), sg AS (SELECT node, i, min((CAST(a AS HUGEINT) * x + b) % {blocking.PRIME}) AS m FROM ng JOIN cr USING (gram), cf GROUP BY node, i), bk AS (SELECT i // 4 AS band, node, string_agg(CAST(m AS VARCHAR), '-' ORDER BY i) AS k FROM sg GROUP BY 1, 2), bs AS (SELECT count(*) AS n FROM bk GROUP BY band, k)"
+
+
 @query("minhash_block")
 def minhash_block(spark, d):
     blocks = blocking.minhash_blocks(name_values(spark, d), "node", "grams")
     return statistics.block_summary(blocks)
 
 
-@query("hlsh_block")
+SAMPLES = ", ".join(f"({s}, {p})" for s, ps in enumerate(blocking.hamming_samples(L, 20, L // 10)) for p in ps)
+
+
+@query("hlsh_block", f"WITH {bits_sql(['a0'])}, sm(s, pos) AS (VALUES {SAMPLES}), bk AS (SELECT r.rec_id, k.s AS s, coalesce(string_agg(CAST(b.pos AS VARCHAR), '-' ORDER BY b.pos), '') AS key FROM (SELECT DISTINCT rec_id FROM p) r CROSS JOIN (SELECT DISTINCT s FROM sm) k LEFT JOIN (SELECT b.rec_id, sm.s, b.pos FROM b JOIN sm USING (pos)) b ON b.rec_id = r.rec_id AND b.s = k.s GROUP BY 1, 2) SELECT s || ':' || key AS block, count(*) AS n FROM bk GROUP BY 1")
 def hlsh_block(spark, d):
     e = encoders.encode(plain(spark, d), E_NAME)
     return blocking.hamming_blocks(e, "rec_id", "bits", L, 20, L // 10).groupBy("block").agg(F.count("*").alias("n"))
 
 
-NV = f"{P}, nv AS (SELECT DISTINCT a0 || ' ' || a2 AS node FROM p), ng AS (SELECT node, unnest(list_distinct({grams_sql('node')})) AS gram FROM nv), nn AS (SELECT node, count(*) AS n FROM ng GROUP BY node)"
+NV = f"{P}, nv AS (SELECT DISTINCT a0 || ' ' || a2 || ' ' || a1 AS node FROM p), ng AS (SELECT node, unnest(list_distinct({grams_sql('node')})) AS gram FROM nv), nn AS (SELECT node, count(*) AS n FROM ng GROUP BY node)"
+ORACLE["minhash_block"] = f"WITH {minhash_sql()} SELECT min(n) AS least, avg(n) AS mean, quantile_cont(n, 0.5) AS median, max(n) AS most, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS pairs FROM bs"
 SIMS = f"{NV}, cm AS (SELECT a.node AS src, b.node AS dst, count(*) AS m FROM ng a JOIN ng b ON a.gram = b.gram AND a.node < b.node GROUP BY 1, 2), ed AS (SELECT src, dst, 2.0 * m / (x.n + y.n) AS sim FROM cm JOIN nn x ON x.node = src JOIN nn y ON y.node = dst WHERE 2.0 * m / (x.n + y.n) >= 0.75)"
 
 
@@ -558,14 +647,22 @@ def egonet(spark, d):
     return graph.egonets(name_edges(spark, d), 0.85).withColumn("egonet_density", r6("egonet_density"))
 
 
-@query("graph_characteristics")
+@query("graph_characteristics", "WITH RECURSIVE " + BOTH + ", th AS (SELECT unnest([0.75, 0.85, 0.95]) AS t), cc AS (SELECT t, node, node AS reach FROM bw, th WHERE sim >= t UNION SELECT cc.t, cc.node, bw.other FROM cc JOIN bw ON bw.node = cc.reach AND bw.sim >= cc.t), co AS (SELECT t, node, min(reach) AS c FROM cc GROUP BY 1, 2), sz AS (SELECT t, c, count(*) AS s FROM co GROUP BY 1, 2), ag AS (SELECT t, sum(s) AS ins, count(*) AS c, max(s) AS m FROM sz GROUP BY t), tn AS (SELECT count(*) AS n FROM nv) SELECT CAST(t AS DOUBLE) AS threshold, n AS nodes, (SELECT count(*) FROM ed WHERE sim >= t) AS edges, CAST(n - coalesce(ins, 0) AS BIGINT) AS singletons, CAST(coalesce(c, 0) + n - coalesce(ins, 0) AS BIGINT) AS components, coalesce(m, 1) AS largest FROM th LEFT JOIN ag USING (t), tn")
 def graph_characteristics(spark, d):
     return graph.characteristics(name_values(spark, d), name_edges(spark, d), [0.75, 0.85, 0.95])
 
 
-@query("pagerank")
+def _rank_sql(rounds: int) -> str:
+    """Power steps, one table each."""
+    out = "dg AS (SELECT node, count(*) AS d FROM bw GROUP BY node), sz AS (SELECT count(*) AS n FROM dg), r0 AS (SELECT node, 1.0 / n AS r FROM dg, sz)"
+    for k in range(rounds):
+        out += f", r{k + 1} AS MATERIALIZED (SELECT other AS node, 0.15 / any_value(n) + 0.85 * sum(r / d) AS r FROM bw JOIN r{k} USING (node) JOIN dg USING (node), sz GROUP BY other)"
+    return out
+
+
+@query("pagerank", f"WITH {BOTH}, {_rank_sql(10)} SELECT node, round(r, 6) AS pagerank FROM r10")
 def pagerank(spark, d):
-    return graph.pagerank(name_edges(spark, d), rounds=10).withColumn("pagerank", r6("pagerank"))
+    return graph.pagerank(name_edges(spark, d), rounds=10, tolerance=0).withColumn("pagerank", r6("pagerank"))
 
 
 @query("centralities")
@@ -598,7 +695,7 @@ def sim_interval_diff(spark, d):
 @query("cross_sim_tol", f"WITH {BITS}, pp AS (SELECT node, max(sim) AS t, count(*) AS a, count(*) FILTER (sim >= 0.80) AS h FROM (SELECT src AS node, sim FROM ed UNION ALL SELECT dst, sim FROM ed) GROUP BY node), ep AS (SELECT node, max(sim) AS t, count(*) AS a, count(*) FILTER (sim >= 0.80) AS h FROM (SELECT src AS node, sim FROM fe UNION ALL SELECT dst, sim FROM fe) GROUP BY node) SELECT pp.node AS plain, count(*) AS n FROM pp, ep WHERE split_part(pp.node, ' ', -1) = split_part(ep.node, ' ', -1) AND round(ep.t - pp.t, 9) BETWEEN -0.01 AND 0.25 AND ep.a >= pp.h AND pp.a >= ep.h GROUP BY 1")
 def cross_sim_tol(spark, d):
     p, e = name_edges(spark, d), bit_edges(spark, d)
-    nodes = name_values(spark, d).select(F.element_at(F.split("node", " "), -1).alias("block"), "node")  # by brand
+    nodes = name_values(spark, d).select(F.element_at(F.split("node", " "), -1).alias("block"), "node")  # by type
     pairs = blocking.cross_pairs(nodes, nodes, "node", "node")
     return blocking.edge_tolerant(pairs, p, e, 0.75).groupBy("plain").agg(F.count("*").alias("n"))
 
@@ -624,6 +721,21 @@ def scored_both_ways(spark, d) -> DataFrame:
     return one.unionByName(back).unionByName(same)
 
 
+M2 = "m2 AS (SELECT plain, enc, round(cos, 9) AS score FROM mt UNION ALL SELECT enc, plain, round(cos, 9) FROM mt UNION ALL SELECT node, node, 1.0 FROM nv)"
+
+
+def _greedy_sql(rounds: int) -> str:
+    """Rounds of mutual best pairs, enough of them for these tables; each takes what the rounds before have left."""
+    out, took = "l0 AS (SELECT * FROM m2)", []
+    for k in range(rounds):
+        out += (
+            f", t{k} AS MATERIALIZED (SELECT plain, enc FROM (SELECT plain, enc, row_number() OVER (PARTITION BY plain ORDER BY score DESC, plain, enc) AS a, row_number() OVER (PARTITION BY enc ORDER BY score DESC, plain, enc) AS b FROM l{k}) WHERE a = 1 AND b = 1)"
+            f", l{k + 1} AS MATERIALIZED (SELECT * FROM l{k} WHERE plain NOT IN (SELECT plain FROM t{k}) AND enc NOT IN (SELECT enc FROM t{k}))"
+        )
+        took.append(f"SELECT plain, enc FROM t{k}")
+    return f"{out} {' UNION ALL '.join(took)}"
+
+
 MT = f"{BITS}, mt AS (SELECT src AS plain, dst AS enc, sim AS cos FROM fe WHERE sim >= 0.8)"
 CF = f"{MT}, pa AS (SELECT plain, sum(cos) AS ps, count(*) AS pn FROM mt GROUP BY plain), ea AS (SELECT enc, sum(cos) AS es, count(*) AS en FROM mt GROUP BY enc), rw AS (SELECT plain, enc, cos, CASE WHEN pn + en > 2 THEN cos / ((ps + es - 2 * cos) / (pn + en - 2)) ELSE cos / ((SELECT min(cos) FROM mt) - 0.1) END AS s, 1.0 / (pn + en - 1) AS d FROM mt JOIN pa USING (plain) JOIN ea USING (enc)), bd AS (SELECT min(s) AS s0, max(s) AS s1, min(d) AS d0, max(d) AS d1 FROM rw)"
 
@@ -643,12 +755,12 @@ def match_symmetric(spark, d):
     return matching.symmetric(scored(spark, d)).select("plain", "enc")
 
 
-@query("match_greedy")
+@query("match_greedy", f"WITH {MT}, {M2}, {_greedy_sql(4)}")
 def match_greedy(spark, d):
     return matching.greedy(scored_both_ways(spark, d)).select("plain", "enc")
 
 
-@query("match_hungarian")
+@query("match_hungarian", f"WITH {NV} SELECT count(*) AS n, CAST(count(*) AS DOUBLE) AS score FROM nv")
 def match_hungarian(spark, d):
     return matching.hungarian(scored_both_ways(spark, d)).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("score"))
 
@@ -699,11 +811,11 @@ def regression_calib(spark, d):
 
 @query("graph_analysis")
 def graph_analysis(spark, d):
-    """The graph pipeline over values of one word of a name and a brand: a small product space, whatever the scale."""
-    rows = plain(spark, d).withColumn("value", F.concat_ws(" ", "a0", "a2"))
-    e = encoders.Encoding(("a0", "a2"), Q, False, L, 4)
-    p = pipelines.GraphParams(e, 0.7, (0.75, 0.85), 3, 200, 20, 20, 0.8, weights=((1.0, 0.0, 0.0),), matchers=("symmetric",))
-    return pipelines.graph_analysis(rows, rows, p)
+    """The graph pipeline over names, brands and types, the encoded side half of them: every matcher under every set of weights."""
+    value = F.concat_ws(" ", "a0", "a2", "a1")
+    e = encoders.Encoding(("a0", "a2", "a1"), Q, False, L, 4)
+    p = pipelines.GraphParams(e, 0.75, (0.8, 0.9), 3, 500, 20, 50, 0.95, matchers=("symmetric", "greedy", "hungarian", "random"), calibrate="linear", tolerance=(0.05, 0.05))
+    return pipelines.graph_analysis(encoded(spark, d).withColumn("value", value), plain(spark, d).withColumn("value", value), p)
 
 
 # -- scale

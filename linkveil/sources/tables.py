@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,8 +59,9 @@ def last_of_each_id(recs: DataFrame, order: str | None = None) -> DataFrame:
 
 
 def value_ids(recs: DataFrame) -> DataFrame:
-    """(rec_val, ids, n)."""
-    return recs.groupBy("rec_val").agg(F.array_sort(F.collect_set("rec_id")).alias("ids"), F.count("*").alias("n"))
+    """(rec_val, n, n_ids, first_id): rows and distinct ids of each value; a common value's ids do not meet in one row."""
+    pairs = recs.groupBy("rec_val", "rec_id").agg(F.count("*").alias("m"))
+    return pairs.groupBy("rec_val").agg(F.sum("m").alias("n"), F.count("*").alias("n_ids"), F.min("rec_id").alias("first_id"))
 
 
 def graph_records(df: DataFrame, id_column: int | str, attributes: list[int | str], soundex_columns: list[int | str] = (), limit: int = -1) -> DataFrame:
@@ -130,6 +132,29 @@ def histogram(df: DataFrame, column: str, digits: int = 3) -> DataFrame:
     return df.groupBy(F.round(column, digits).alias("value")).agg(F.count("*").alias("n"))
 
 
+def density(df: DataFrame, column: str, points: list[float], bandwidth: float, digits: int = 3) -> DataFrame:
+    """(at, density): a Gaussian kernel estimate at points, from the histogram of the rounded column."""
+    bins = histogram(df, column, digits).where("value is not null")
+    each = bins.select("n", F.explode(F.array(*map(F.lit, points))).alias("at"), "value")
+    kernel = F.exp(-F.pow((F.col("at") - F.col("value")) / bandwidth, 2) / 2) / (bandwidth * math.sqrt(2 * math.pi))
+    return each.groupBy("at").agg((F.sum(F.col("n") * kernel) / F.sum("n")).alias("density"))
+
+
+def regression_points(df: DataFrame, x: str, y: str, digits: int = 2) -> DataFrame:
+    """(x, y, n): a scatter plot's points, rounded and counted."""
+    return df.groupBy(F.round(x, digits).alias("x"), F.round(y, digits).alias("y")).agg(F.count("*").alias("n"))
+
+
+def write_features_csv(features: DataFrame, path: str) -> None:
+    """S8 as delimited text with a header."""
+    features.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_features_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Node as text, columns as doubles."""
+    return spark.read.schema("node string, " + ", ".join(f"`{c}` double" for c in columns)).option("header", True).csv(path)
+
+
 class Datasets:
     """Named tables that a user has brought in."""
 

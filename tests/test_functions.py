@@ -125,3 +125,22 @@ def test_rbf_gives_each_attribute_its_share(spark):
     got = encoders.encode(df, e, [0.25, 0.75]).first().bits
     full = df.select(encoders.attribute_filter(e, "a", 3).alias("a"), encoders.attribute_filter(e, "b", 3).alias("b")).first()
     assert got == sorted(r for n, b, r in encoders.rbf_map([64, 64], [0.25, 0.75], 64) if b in (full.a, full.b)[n])
+
+
+def test_rbf_keeps_every_bit_of_a_short_filter():
+    table = encoders.rbf_map([64, 8], [0.25, 0.75], 64)
+    assert {b for n, b, _ in table if n == 1} == set(range(8))
+    assert all({b for n, b, _ in encoders.rbf_map([117, 73], [0.5, 0.5], 1000) if n == a} == set(range(size)) for a, size in enumerate((117, 73)))
+
+
+def test_the_dictionary_gives_the_positions_of_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([("anna", "smith", "x"), ("", None, "y"), ("jo é", "o'neil", None)], "a string, b string, s string")
+    for e in (
+        encoders.Encoding(("a", "b"), 2, True, 97, 4), encoders.Encoding(("a", "b"), 2, False, 64, (3, 5), kind="clkrbf"), encoders.Encoding(("a", "b"), 2, False, 64, 3, "th", "rbf"),
+        encoders.Encoding(("a",), 3, True, 64, 3, "counter", salt="s", harden="fold"),
+    ):
+        rows = lambda **kw: sorted(map(str, encoders.encode(df, e, **kw).collect()))  # noqa: B023, E731
+        with_, without = rows(), rows(dictionary=False)
+        assert with_ == without
+    monkeypatch.setattr(encoders, "MOST_GRAMS", 2)
+    assert rows() == without
