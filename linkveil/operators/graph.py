@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from linkveil.functions.columns import dot
 from linkveil.operators.components import connected_components
-from linkveil.session import materialize
+from linkveil.session import drop_made, made, materialize
 
 
 def nodes_of(records: DataFrame, key: str, entity: str, value: str) -> DataFrame:
@@ -158,19 +158,60 @@ def eigenvector(edges: DataFrame, rounds: int = 500, tolerance: float = 1e-6) ->
     return score.select("node", F.col("x").alias("eigenvector"))
 
 
-def path_centralities(edges: DataFrame, most_nodes: int = 5_000) -> DataFrame:
+def _paths_by_levels(near: DataFrame, nodes: DataFrame, state_rows: int) -> DataFrame:
+    """(node, reach, between): the sum of distances from each node, and the shares of shortest paths through it, by frontier joins.
+
+    near: (node, other), every edge from either end, once. nodes: (node, n) with the size of the node's component. Sources
+    go in blocks of at most about state_rows (source, node) pairs. A block's breadth-first levels are tables, one join
+    each; neighbours of a level lie in it or in those beside it, so only two levels are taken off a new one. Shares then
+    flow back from the deepest level.
+    """
+    spark = near.sparkSession
+    pairs = nodes.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-pairs // state_rows))
+    done = None
+    for block in range(blocks):
+        since = made(spark) - (done is not None)
+        own = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        level = materialize(own.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "paths-level")
+        levels = [level]
+        while True:
+            step = level.join(near, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
+            for before in levels[-2:]:
+                step = step.join(before.select("source", "node"), ["source", "node"], "left_anti")
+            level = materialize(step, "paths-level")
+            if level.isEmpty():
+                break
+            levels.append(level)
+        zero = F.lit(0.0)
+        parts = [lv.groupBy(F.col("source").alias("node")).agg((F.count("*") * depth).cast("long").alias("reach")).withColumn("between", zero) for depth, lv in enumerate(levels)]
+        here = levels[-1].withColumn("lean", zero)
+        for before in reversed(levels[1:-1]):
+            share = here.select("source", "node", ((1 + F.col("lean")) / F.col("paths")).alias("share"))
+            given = share.join(near, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("share").alias("given"))
+            lean = F.col("paths") * F.coalesce("given", zero)
+            here = materialize(before.join(given, ["source", "node"], "left").select("source", "node", "paths", lean.alias("lean")), "paths-lean")
+            parts.append(here.groupBy("node").agg(F.sum("lean").alias("between")).select("node", F.lit(0).cast("long").alias("reach"), "between"))
+        rows = done
+        for part in parts:
+            rows = part if rows is None else rows.unionByName(part)
+        done = materialize(rows.groupBy("node").agg(F.sum("reach").alias("reach"), F.sum("between").alias("between")), "paths-done")
+        drop_made(spark, since, keep=1)
+    return done
+
+
+def path_centralities(edges: DataFrame, most_nodes: int = 5_000, state_rows: int = 50_000_000) -> DataFrame:
     """(node, closeness, betweenness, degree_centrality), exact breadth-first counts within each component.
 
-    degree_centrality counts every edge at both of its directions, in and out. A component is solved in one task, all
-    sources of a block at once, level by level; one of more than most_nodes nodes is refused with its size, not sampled.
+    degree_centrality counts every edge at both of its directions, in and out. A component of at most most_nodes nodes is
+    solved in one task, all sources of a block at once, level by level. Larger ones are solved by joins, state_rows
+    (source, node) pairs at a time: nothing is gathered, but the work is still nodes times edges of the component.
     """
     comps = materialize(connected_components(edges), "components")
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > most_nodes:
-        raise ValueError(f"a component has {largest} nodes; raise the threshold or use pagerank")
     total = comps.count()
-    inside = edges.join(comps.select(F.col("node").alias("src"), "component"), "src").select("component", "src", "dst")
+    placed = materialize(comps.join(sizes, "component"), "nodes-by-component")
+    inside = edges.join(placed.select(F.col("node").alias("src"), "component", "n"), "src").select("component", "n", "src", "dst")
     kind = edges.schema["src"].dataType.simpleString()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -206,7 +247,18 @@ def path_centralities(edges: DataFrame, most_nodes: int = 5_000) -> DataFrame:
         scale = (total - 1) * (total - 2)
         return pd.DataFrame({"node": names, "closeness": close, "betweenness": between / scale if scale > 0 else 0.0, "degree_centrality": 2 * linked.sum(axis=1) / max(1, total - 1)})
 
-    return inside.groupBy("component").applyInPandas(solve, f"node {kind}, closeness double, betweenness double, degree_centrality double")
+    small = inside.where(F.col("n") <= most_nodes).groupBy("component")
+    out = small.applyInPandas(solve, f"node {kind}, closeness double, betweenness double, degree_centrality double")
+    nodes = placed.where(F.col("n") > most_nodes).select("node", "n")
+    if nodes.isEmpty():
+        return out
+    far = inside.where(F.col("n") > most_nodes).withColumn("sim", F.lit(1.0))
+    near = materialize(both_ways(far).select("node", "other").distinct(), "adjacent")
+    rest, scale = max(1, total - 1), (total - 1) * (total - 2)
+    found = _paths_by_levels(near, nodes, state_rows).join(nodes, "node").join(near.groupBy("node").agg(F.count("*").alias("d")), "node")
+    close = (F.col("n") - 1) / F.col("reach") * ((F.col("n") - 1) / rest)
+    between = F.col("between") / scale if scale > 0 else F.lit(0.0)
+    return out.unionByName(found.select("node", close.alias("closeness"), between.alias("betweenness"), (2 * F.col("d") / rest).alias("degree_centrality")))
 
 
 def bucket_count(*edges: DataFrame) -> int:

@@ -214,6 +214,20 @@ def test_graph_features(spark):
     assert [(r.edges, r.singletons, r.components, r.largest) for r in row] == [(3, 1, 2, 4), (0, 5, 5, 1)]
 
 
+def test_path_centralities_by_levels(spark):
+    """Components beyond most_nodes, in one or several blocks of sources, against the solver of small ones."""
+    rows = [(a, b) for a in range(14) for b in range(a + 1, 14) if b == a + 1 or (a % 3 == 0 and b == a + 4)] + [(20, 21), (21, 22), (22, 23), (23, 24), (30, 31)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 0.5) for a, b in rows], "src string, dst string, sim double")
+    columns = ("closeness", "betweenness", "degree_centrality")
+    want = {r.node: [r[c] for c in columns] for r in graph.path_centralities(edges).collect()}
+    assert sum(w[1] > 0 for w in want.values()) > 5
+    for state_rows in (1_000, 60):
+        got = {r.node: [r[c] for c in columns] for r in graph.path_centralities(edges, most_nodes=3, state_rows=state_rows).collect()}
+        assert got.keys() == want.keys()
+        for node, values in got.items():
+            assert values == pytest.approx(want[node]), node
+
+
 def test_walks_and_vectors(spark):
     edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.7), ("c", "a", 0.8)], "src string, dst string, sim double")
     walks = graph.random_walks(edges, walks=3, length=5).collect()
