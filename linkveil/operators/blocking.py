@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkveil.functions.columns import let, soundex
+from linkveil.session import materialize
 
 #: The prime above 2 ** 32 that MinHash values are taken by.
 PRIME = 4294967311
@@ -93,6 +94,41 @@ def candidate_pairs(blocks: DataFrame, key: str) -> DataFrame:
     return left.join(right, "block").where("src < dst").select("src", "dst").distinct()
 
 
+#: Words of a set's sketch.
+SKETCH_WORDS = 4
+
+
+def sketch(features: Column, words: int = SKETCH_WORDS) -> Column:
+    """64-bit words whose bits are the parities of the elements that hash to them: two sketches differ in at most as many bits as
+    the sets in elements."""
+    hashes = F.transform(F.array_distinct(features), lambda x: F.xxhash64(x))
+    flip = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
+    of = lambda hs, w: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(words)) == w), F.lit(0).cast("long"), flip)
+    return let(hashes, lambda hs: F.array(*[of(hs, w) for w in range(words)]))
+
+
+def dice_candidates(df: DataFrame, key: str, features: str, least: float, block_rows: int = 1_000) -> DataFrame:
+    """(src, dst), src < dst, once: all pairs of at least that Dice similarity among a few others.
+
+    Pairs meet in prefix_blocks; inside the join, before anything is shuffled, go those whose sizes or sketches differ
+    by more than the similarity allows: (|A| + |B|) (1 - least) elements. A block is cut into parts of about block_rows rows on
+    one side, each with the whole block on the other, so that a frequent element's block is shared out among tasks.
+    """
+    drawn = df.select(F.col(key).alias("__k"), F.size(features).alias("n"), sketch(F.col(features)).alias("s"))
+    words = [F.col("s")[w].alias(f"s{w}") for w in range(SKETCH_WORDS)]
+    blocks = prefix_blocks(df, key, features, least).join(drawn, F.col(key) == F.col("__k"))
+    blocks = materialize(blocks.select("block", F.col(key).alias("k"), "n", *words), "sketched-blocks")
+    parts = F.ceil(F.count("*") / block_rows).cast("int").alias("parts")
+    cut = blocks.join(blocks.groupBy("block").agg(parts), "block")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, for few bytes make much work here and AQE would merge them
+    a = cut.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).repartition(tasks, "block", "part").alias("a")
+    b = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    allowed = (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
+    apart = sum((F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}"))) for w in range(SKETCH_WORDS)), F.lit(0))
+    near = (F.col("a.block") == F.col("b.block")) & (F.col("a.part") == F.col("b.part")) & (F.abs(F.col("a.n") - F.col("b.n")) <= allowed) & (apart <= allowed) & (F.col("a.k") < F.col("b.k"))
+    return a.join(b, near).select(F.col("a.k").alias("src"), F.col("b.k").alias("dst")).distinct()
+
+
 def cross_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """(plain, enc): every pair across two sides that shares a block, once."""
     left, right = a.select("block", F.col(key_a).alias("plain")), b.select("block", F.col(key_b).alias("enc"))

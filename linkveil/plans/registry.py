@@ -613,7 +613,7 @@ SIMS = f"{NV}, cm AS (SELECT a.node AS src, b.node AS dst, count(*) AS m FROM ng
 def name_edges(spark, d) -> DataFrame:
     """Dice edges of at least 0.75 among the values; candidates meet in rare q-grams."""
     nodes = materialize(name_values(spark, d), "name-values")
-    pairs = blocking.candidate_pairs(blocking.prefix_blocks(nodes, "node", "grams", 0.75), "node")
+    pairs = blocking.dice_candidates(nodes, "node", "grams", 0.75)
     return materialize(blocking.similarity_join(pairs, nodes, "node", "grams", c.dice, 0.75), "name-edges")
 
 
@@ -674,7 +674,7 @@ def bit_edges(spark, d) -> DataFrame:
     """The same pairs by the similarity of their filters."""
     nodes = encoders.encode(name_values(spark, d), encoders.Encoding(("v",), Q, False, L, 4)).select("node", "bits")
     nodes = materialize(nodes, "name-filters")
-    pairs = blocking.candidate_pairs(blocking.prefix_blocks(nodes, "node", "bits", 0.75), "node")
+    pairs = blocking.dice_candidates(nodes, "node", "bits", 0.75)
     return materialize(blocking.similarity_join(pairs, nodes, "node", "bits", c.dice, 0.75), "filter-edges")
 
 

@@ -214,6 +214,26 @@ def test_graph_features(spark):
     assert [(r.edges, r.singletons, r.components, r.largest) for r in row] == [(3, 1, 2, 4), (0, 5, 5, 1)]
 
 
+def test_dice_candidates(spark):
+    """No pair of the similarity is lost, whatever the parts of a block; sets of repeated elements and empty sets do not harm."""
+    draw = random.Random(4)
+    sets = {f"k{i}": [draw.choice("abcdefghijkl") for _ in range(draw.randint(0, 9))] for i in range(60)}
+    sets["k60"], sets["k61"], sets["k62"] = sets["k3"], sets["k3"], [None, "a"]
+    df = spark.createDataFrame(list(sets.items()), "node string, items array<string>")
+    want = set()
+    for (x, a), (y, b) in itertools.combinations(sets.items(), 2):
+        if a and b and 2 * len(set(a) & set(b)) / (len(a) + len(b)) >= 0.7:
+            want.add((min(x, y), max(x, y)))
+    assert len(want) > 5
+    for rows in (1_000, 3):
+        got = [(r.src, r.dst) for r in blocking.dice_candidates(df, "node", "items", 0.7, rows).collect()]
+        assert want <= set(got) and len(got) == len(set(got)) < 60 * 61 / 2 and all(x < y for x, y in got)
+    words = df.select("node", F.array_distinct("items").alias("items"), blocking.sketch(F.col("items")).alias("s")).collect()
+    for a, b in itertools.combinations(words, 2):
+        assert sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count() for x, y in zip(a.s, b.s, strict=True)) <= len(set(a["items"]) ^ set(b["items"]))
+    assert blocking.dice_candidates(df.limit(0), "node", "items", 0.7).count() == 0
+
+
 def test_path_centralities_by_levels(spark):
     """Components beyond most_nodes, in one or several blocks of sources, against the solver of small ones."""
     rows = [(a, b) for a in range(14) for b in range(a + 1, 14) if b == a + 1 or (a % 3 == 0 and b == a + 4)] + [(20, 21), (21, 22), (22, 23), (23, 24), (30, 31)]
