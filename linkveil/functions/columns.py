@@ -47,6 +47,13 @@ def grams_in_order(value: Column, q: int, padded: bool = False) -> Column:
     )
 
 
+def grams_of_long(value: Column, q: int) -> Column:
+    """grams_in_order for long texts: from an array of the characters, for substring counts from the text's start each time."""
+    text = F.coalesce(value, F.lit(""))
+    at = lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - q), lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)]))
+    return F.when(F.char_length(text) >= q, let(F.split(text, ""), at)).otherwise(F.array().cast("array<string>"))
+
+
 def gram_set(value: Column, q: int, padded: bool = False) -> Column:
     return F.array_distinct(grams_in_order(value, q, padded))
 

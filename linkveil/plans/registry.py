@@ -834,7 +834,7 @@ def encode_lineitem(spark, d):
 def document_grams(spark, d):
     """q-grams over long texts."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    each = docs.select("doc_id", F.explode(c.grams_in_order(F.col("text"), 3)).alias("gram"))
+    each = docs.select("doc_id", F.explode(c.grams_of_long(F.col("text"), 3)).alias("gram"))
     return each.groupBy("gram", "doc_id").agg(F.count("*").alias("m")).groupBy("gram").agg(F.sum("m").alias("n"), F.count("*").alias("docs"))
 
 

@@ -144,3 +144,16 @@ def test_the_dictionary_gives_the_positions_of_the_rows(spark, monkeypatch):
         assert with_ == without
     monkeypatch.setattr(encoders, "MOST_GRAMS", 2)
     assert rows() == without
+
+
+def test_grams_in_order_of_any_text(spark):
+    texts = [None, "", "a", "ab", "anna", "a\U0001f600b\U0001f600", "\u00e9e\u0301 \n\t x", "abc" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for q in (1, 2, 3):
+        for padded in (False, True):
+            got = {r.i: r.g for r in df.select("i", c.grams_in_order(F.col("t"), q, padded).alias("g")).collect()}
+            for i, t in enumerate(texts):
+                full = c.PAD * (q - 1) * padded + (t or "") + c.PAD * (q - 1) * padded
+                assert got[i] == [full[k : k + q] for k in range(len(full) - q + 1)], (q, padded, i)
+        for r in df.select("t", c.grams_of_long(F.col("t"), q).alias("g")).collect():
+            assert r.g == [(r.t or "")[k : k + q] for k in range(len(r.t or "") - q + 1)], (q, r.t)
