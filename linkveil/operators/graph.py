@@ -200,6 +200,12 @@ def _paths_by_levels(near: DataFrame, nodes: DataFrame, state_rows: int) -> Data
     return done
 
 
+def degree_centrality(edges: DataFrame) -> DataFrame:
+    """(node, degree_centrality): every edge counted at both of its directions, in and out, by all other nodes. One aggregation, no paths."""
+    got = both_ways(edges.where("src is not null and dst is not null")).groupBy("node").agg(F.count_distinct("other").alias("d"))
+    return got.crossJoin(F.broadcast(got.agg(F.greatest(F.lit(1), F.count("*") - 1).alias("rest")))).select("node", (2 * F.col("d") / F.col("rest")).alias("degree_centrality"))
+
+
 def path_centralities(edges: DataFrame, most_nodes: int = 5_000, state_rows: int = 50_000_000) -> DataFrame:
     """(node, closeness, betweenness, degree_centrality), exact breadth-first counts within each component.
 

@@ -355,7 +355,7 @@ def eigenvector(spark, d):
 @query("degree_centrality", f"WITH {r.BOTH}, dg AS (SELECT node, count(*) AS d FROM bw GROUP BY node) SELECT node, round(2.0 * d / ((SELECT count(*) FROM dg) - 1), 6) AS degree_centrality FROM dg")
 def degree_centrality(spark, d):
     """G10."""
-    return graph.path_centralities(r.name_edges(spark, d)).select("node", r6("degree_centrality").alias("degree_centrality"))
+    return graph.degree_centrality(r.name_edges(spark, d)).withColumn("degree_centrality", r6("degree_centrality"))
 
 
 @query("closeness", f"WITH RECURSIVE {r.BOTH}, hi AS (SELECT node, other FROM bw WHERE sim >= 0.95), ds AS (SELECT node, node AS far, 0 AS dist FROM (SELECT DISTINCT node FROM hi) UNION SELECT ds.node, hi.other, dist + 1 FROM ds JOIN hi ON hi.node = ds.far WHERE dist < 60), sh AS (SELECT node, far, min(dist) AS dist FROM ds GROUP BY 1, 2), cl AS (SELECT node, count(*) AS n, sum(dist) AS s FROM sh GROUP BY node) SELECT node, round((n - 1) / s * (n - 1) / ((SELECT count(*) FROM cl) - 1), 6) AS closeness FROM cl")

@@ -248,6 +248,15 @@ def test_path_centralities_by_levels(spark):
             assert values == pytest.approx(want[node]), node
 
 
+def test_degree_centrality_needs_no_paths(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.5), ("b", "c", 0.7), ("c", "d", 0.95)], "src string, dst string, sim double")
+    want = {r.node: r.degree_centrality for r in graph.path_centralities(edges).collect()}
+    assert {r.node: r.degree_centrality for r in graph.degree_centrality(edges).collect()} == pytest.approx(want)
+    assert graph.degree_centrality(edges.limit(0)).count() == 0
+    monkeypatch.setattr(graph, "path_centralities", None)
+    assert __import__("__spark_entry__").queries()["degree_centrality"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_walks_and_vectors(spark):
     edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.7), ("c", "a", 0.8)], "src string, dst string, sim double")
     walks = graph.random_walks(edges, walks=3, length=5).collect()
