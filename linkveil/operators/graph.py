@@ -206,12 +206,102 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return got.crossJoin(F.broadcast(got.agg(F.greatest(F.lit(1), F.count("*") - 1).alias("rest")))).select("node", (2 * F.col("d") / F.col("rest")).alias("degree_centrality"))
 
 
-def path_centralities(edges: DataFrame, most_nodes: int = 5_000, state_rows: int = 50_000_000) -> DataFrame:
+def _sweep(ends: np.ndarray, to: np.ndarray, sources: np.ndarray, between: np.ndarray, most_cells: int = 1 << 17) -> np.ndarray:
+    """The sum of distances from each of the sources; between gets the shares of their shortest paths through every node.
+
+    ends, to: neighbours of node i are to[ends[i]:ends[i + 1]]. All sources go level by level at once, (node, source) cells; a level
+    touches the neighbours of the last one alone, most_cells cells at a time.
+    """
+    n, wide = len(ends) - 1, len(sources)
+    most = max(1, most_cells // wide)
+    sizes = np.diff(ends)
+
+    def pull(cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each row the sum over its neighbours' cells."""
+        out, first = np.empty((len(rows), wide)), 0
+        past = np.cumsum(sizes[rows])
+        while first < len(rows):
+            base = past[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(past, base + most, "right")))
+            own = rows[first:last]
+            starts = np.concatenate(([0], past[first : last - 1] - base))
+            near = to[np.repeat(ends[own] - starts, sizes[own]) + np.arange(past[last - 1] - base)]
+            np.add.reduceat(cells[near], starts, axis=0, out=out[first:last])
+            first = last
+        return out
+
+    dist = np.full((n, wide), -1, np.int32)
+    paths, cells = np.zeros((n, wide)), np.zeros((n, wide))
+    columns = np.arange(wide)
+    dist[sources, columns], paths[sources, columns], cells[sources, columns] = 0, 1.0, 1.0
+    levels = [np.unique(sources)]
+    while True:
+        mark = np.zeros(n, bool)
+        for x in np.array_split(levels[-1], -(-int(sizes[levels[-1]].sum()) // most_cells) or 1):
+            own = sizes[x]
+            mark[to[np.repeat(ends[x] - (np.cumsum(own) - own), own) + np.arange(own.sum())]] = True
+        rows = np.flatnonzero(mark)
+        rows = rows[(dist[rows] < 0).any(axis=1)]
+        step = pull(cells, rows)
+        step[dist[rows] >= 0] = 0.0
+        cells[levels[-1]] = 0.0
+        some = (step > 0).any(axis=1)
+        rows, step = rows[some], step[some]
+        if not len(rows):
+            break
+        new = step > 0
+        dist[rows] = np.where(new, len(levels), dist[rows])
+        paths[rows] = np.where(new, step, paths[rows])
+        cells[rows] = step
+        levels.append(rows)
+    lean = np.zeros((n, wide))
+    for level in range(len(levels) - 1, 0, -1):
+        rows, before = levels[level], levels[level - 1]
+        cells[rows] = np.divide(1 + lean[rows], paths[rows], out=np.zeros((len(rows), wide)), where=dist[rows] == level)
+        lean[before] += np.where(dist[before] == level - 1, paths[before] * pull(cells, before), 0.0)
+        cells[rows] = 0.0
+    lean[sources, columns] = 0.0
+    between += lean.sum(axis=1)
+    return np.maximum(dist, 0).sum(axis=0)
+
+
+def _paths_by_sources(near: DataFrame, nodes: DataFrame, block: int = 16) -> DataFrame:
+    """(node, reach, between) like _paths_by_levels: the adjacency goes to every task as integers, and blocks of sources are dealt out."""
+    spark = near.sparkSession
+    names = sorted(r["node"] for r in nodes.select("node").collect())
+    n, kind = len(names), near.schema["node"].dataType.simpleString()
+    # a literal table of numbers would be larger than the numbers of both ends
+    at = spark.createDataFrame(pd.DataFrame({"node": names, "i": np.arange(n, dtype=np.int32)}), f"node {kind}, i int")
+    ends = near.join(at, "node").select(F.col("i").alias("a"), "other").join(at.select(F.col("node").alias("other"), F.col("i").alias("b")), "other").where("a <> b").select("a", "b").toArrow()
+    a, b = (ends[c].to_numpy() for c in ("a", "b"))
+    own = spark.sparkContext.broadcast((np.concatenate(([0], np.cumsum(np.bincount(a, minlength=n)))), b[np.argsort(a, kind="stable")]))
+
+    def solve(batches):
+        starts, to = own.value
+        between, some = np.zeros(n), False
+        for pdf in batches:
+            for first in pdf["first"]:
+                some, sources = True, np.arange(first, min(n, first + block))
+                yield pd.DataFrame({"i": sources, "reach": _sweep(starts, to, sources, between), "between": 0.0})
+        if some:
+            yield pd.DataFrame({"i": np.arange(n), "reach": 0, "between": between})
+
+    blocks = -(-n // block)
+    tasks = min(blocks, 2 * spark.sparkContext.defaultParallelism)
+    parts = spark.range(0, blocks, 1, tasks).select((F.col("id") * block).alias("first")).mapInPandas(solve, "i int, reach long, between double")
+    out = parts.groupBy("i").agg(F.sum("reach").alias("reach"), F.sum("between").alias("between")).join(at, "i").select("node", "reach", "between")
+    out = materialize(out, "paths-done")
+    own.destroy()
+    return out
+
+
+def path_centralities(edges: DataFrame, most_nodes: int = 1_000, state_rows: int = 50_000_000, most_edges: int = 5_000_000) -> DataFrame:
     """(node, closeness, betweenness, degree_centrality), exact breadth-first counts within each component.
 
     degree_centrality counts every edge at both of its directions, in and out. A component of at most most_nodes nodes is
-    solved in one task, all sources of a block at once, level by level. Larger ones are solved by joins, state_rows
-    (source, node) pairs at a time: nothing is gathered, but the work is still nodes times edges of the component.
+    solved in one task, all sources of a block at once, level by level. Larger ones, if they have at most most_edges edges in all, go
+    to every task as integers and their sources are dealt out; beyond that they are solved by joins, state_rows (source, node)
+    pairs at a time: nothing is gathered. The work is nodes times edges of the component either way.
     """
     comps = materialize(connected_components(edges), "components")
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
@@ -219,39 +309,23 @@ def path_centralities(edges: DataFrame, most_nodes: int = 5_000, state_rows: int
     placed = materialize(comps.join(sizes, "component"), "nodes-by-component")
     inside = edges.join(placed.select(F.col("node").alias("src"), "component", "n"), "src").select("component", "n", "src", "dst")
     kind = edges.schema["src"].dataType.simpleString()
+    scale = (total - 1) * (total - 2)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
         at = {x: i for i, x in enumerate(names)}
         n = len(names)
-        linked = np.zeros((n, n))
         i, j = pdf["src"].map(at).to_numpy(), pdf["dst"].map(at).to_numpy()
-        linked[i, j] = linked[j, i] = 1.0
+        linked = np.unique(np.concatenate((i * n + j, j * n + i)))
+        degree = np.bincount(linked // n, minlength=n)
+        linked = linked[linked // n != linked % n]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(linked // n, minlength=n))))
         close, between = np.zeros(n), np.zeros(n)
-        for first in range(0, n, 256):
-            block = np.arange(first, min(n, first + 256))
-            rows = np.arange(len(block))
-            dist = np.full((len(block), n), -1)
-            paths = np.zeros((len(block), n))
-            dist[rows, block], paths[rows, block] = 0, 1.0
-            depth = 0
-            while True:
-                step = np.where(dist == depth, paths, 0.0) @ linked  # paths into the next level
-                new = (dist < 0) & (step > 0)
-                if not new.any():
-                    break
-                depth += 1
-                dist[new], paths[new] = depth, step[new]
-            reach = dist.sum(axis=1)
+        for first in range(0, n, 16):
+            block = np.arange(first, min(n, first + 16))
+            reach = _sweep(ends, linked % n, block, between)
             close[block] = np.where(reach > 0, (n - 1) / np.maximum(reach, 1) * (n - 1) / max(1, total - 1), 0.0)
-            lean = np.zeros((len(block), n))
-            for level in range(depth, 0, -1):
-                share = np.divide(1 + lean, paths, out=np.zeros_like(lean), where=dist == level) @ linked
-                lean += np.where(dist == level - 1, paths * share, 0.0)
-            lean[rows, block] = 0.0
-            between += lean.sum(axis=0)
-        scale = (total - 1) * (total - 2)
-        return pd.DataFrame({"node": names, "closeness": close, "betweenness": between / scale if scale > 0 else 0.0, "degree_centrality": 2 * linked.sum(axis=1) / max(1, total - 1)})
+        return pd.DataFrame({"node": names, "closeness": close, "betweenness": between / scale if scale > 0 else 0.0, "degree_centrality": 2.0 * degree / max(1, total - 1)})
 
     small = inside.where(F.col("n") <= most_nodes).groupBy("component")
     out = small.applyInPandas(solve, f"node {kind}, closeness double, betweenness double, degree_centrality double")
@@ -260,8 +334,9 @@ def path_centralities(edges: DataFrame, most_nodes: int = 5_000, state_rows: int
         return out
     far = inside.where(F.col("n") > most_nodes).withColumn("sim", F.lit(1.0))
     near = materialize(both_ways(far).select("node", "other").distinct(), "adjacent")
-    rest, scale = max(1, total - 1), (total - 1) * (total - 2)
-    found = _paths_by_levels(near, nodes, state_rows).join(nodes, "node").join(near.groupBy("node").agg(F.count("*").alias("d")), "node")
+    rest = max(1, total - 1)
+    paths = _paths_by_sources(near, nodes) if near.count() <= 2 * most_edges else _paths_by_levels(near, nodes, state_rows)
+    found = paths.join(nodes, "node").join(near.groupBy("node").agg(F.count("*").alias("d")), "node")
     close = (F.col("n") - 1) / F.col("reach") * ((F.col("n") - 1) / rest)
     between = F.col("between") / scale if scale > 0 else F.lit(0.0)
     return out.unionByName(found.select("node", close.alias("closeness"), between.alias("betweenness"), (2 * F.col("d") / rest).alias("degree_centrality")))

@@ -248,6 +248,21 @@ def test_path_centralities_by_levels(spark):
             assert values == pytest.approx(want[node]), node
 
 
+def test_path_centralities_by_sources(spark, monkeypatch):
+    """Components beyond most_nodes have their sources dealt out while most_edges allows; all three plans agree, loops and an edge named twice too."""
+    draw = random.Random(5)
+    rows = [(a, b) for a in range(40) for b in range(a + 1, 40) if draw.random() < 0.07 or b == a + 1] + [(50, 51), (60, 61), (61, 62), (70, 70), (0, 1)]
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 0.5) for a, b in rows], "src string, dst string, sim double")
+    columns = ("closeness", "betweenness", "degree_centrality")
+    got = lambda **k: {r.node: [r[c] for c in columns] for r in graph.path_centralities(edges, **k).collect()}
+    want, joined = got(), got(most_nodes=3, most_edges=0, state_rows=5_000)
+    monkeypatch.setattr(graph, "_paths_by_levels", None)
+    dealt = got(most_nodes=2)
+    assert want.keys() == joined.keys() == dealt.keys()
+    for node, values in want.items():
+        assert joined[node] == pytest.approx(values) and dealt[node] == pytest.approx(values), node
+
+
 def test_degree_centrality_needs_no_paths(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.5), ("b", "c", 0.7), ("c", "d", 0.95)], "src string, dst string, sim double")
     want = {r.node: r.degree_centrality for r in graph.path_centralities(edges).collect()}
