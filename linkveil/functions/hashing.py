@@ -113,4 +113,4 @@ def positions(grams: Column, bf_len: int, k: int, scheme: str = "dh") -> Column:
     if scheme == "rh":
         return random_hash(bf_len, k)(grams)
     each = SCHEMES[scheme]
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(grams, lambda g: each(g, bf_len, k)))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(grams, lambda g: each(g, bf_len, k)))))  # array_sort compares by an interpreted lambda

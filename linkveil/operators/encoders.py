@@ -7,6 +7,7 @@ import random
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def from_dictionary(df: DataFrame, e: Encoding) -> Hash:
             buckets[zlib.crc32(r["gram"].encode()) % n][r["gram"]] = list(r["p"])
         table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>")
         look = lambda g: F.element_at(F.get(table, F.pmod(F.crc32(g.cast("binary")), F.lit(n)).cast("int")), g)
-        return F.array_sort(F.array_distinct(F.flatten(F.transform(grams, look))))
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(grams, look))))
 
     return positions
 
@@ -89,7 +90,7 @@ def clk(e: Encoding, how: Hash | None = None) -> Column:
     ks = (e.k,) * len(e.attributes) if isinstance(e.k, int) else e.k
     if len(ks) != len(e.attributes):
         raise ValueError("one number of hash functions for each attribute")
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[attribute_filter(e, a, k, how=how) for a, k in zip(e.attributes, ks, strict=True)]))))
+    return F.sort_array(F.array_distinct(F.flatten(F.array(*[attribute_filter(e, a, k, how=how) for a, k in zip(e.attributes, ks, strict=True)]))))
 
 
 def rbf_map(lengths: list[int], shares: list[float], bf_len: int, seed: int = 42) -> list[list[int]]:
@@ -118,7 +119,7 @@ def apply_rbf_map(filters: list[Column], table: list[list[int]]) -> Column:
         by_bit = F.from_json(F.lit(json.dumps(to)), "array<array<int>>")
         return F.flatten(F.transform(pos, lambda p: F.coalesce(F.get(by_bit, p), F.array().cast("array<int>"))))
 
-    return F.array_sort(F.flatten(F.array(*[part(n, pos) for n, pos in enumerate(filters)])))
+    return F.sort_array(F.flatten(F.array(*[part(n, pos) for n, pos in enumerate(filters)])))
 
 
 def dynamic_length(share: float, k: int, average_grams: float) -> int:
@@ -179,6 +180,20 @@ def encode(df: DataFrame, e: Encoding, shares: list[float] | None = None, out: s
     return df.withColumn(out, harden(pos, e))
 
 
+#: Distinct values whose results go to every task (a balanced filter of 1,000 bits is some 5 KB as a string); beyond that each row is worked out.
+MOST_VALUES = 5_000
+
+
+def per_value(df: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame], most: int = MOST_VALUES) -> DataFrame:
+    """df with the columns that make adds to rows from their keys alone: made once for each distinct value, where there are few."""
+    values = df.select(*keys).distinct()
+    if values.limit(most + 1).count() > most:
+        return make(df)
+    done = make(values).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(F.broadcast(done), same).drop(*[f"__{k}" for k in keys])
+
+
 def true_positions(df: DataFrame, e: Encoding) -> DataFrame:
     """(gram, pos): the truth that evaluations hold guesses against; each distinct q-gram is hashed once.
 

@@ -19,19 +19,19 @@ def permutation(n: int, seed: int) -> list[int]:
 def moved(pos: Column, to: list[int]) -> Column:
     """Every position p becomes to[p]."""
     table = F.array(*map(F.lit, to))
-    return F.array_sort(F.transform(pos, lambda p: F.get(table, p)))
+    return F.sort_array(F.transform(pos, lambda p: F.get(table, p)))
 
 
 def exclusive(a: Column, b: Column) -> Column:
     """Sorted elements of one of two sets alone."""
-    return F.array_sort(F.array_except(F.array_union(a, b), F.array_intersect(a, b)))
+    return F.sort_array(F.array_except(F.array_union(a, b), F.array_intersect(a, b)))
 
 
 def balance(pos: Column, bf_len: int, seed: int | None = None) -> Column:
     """The filter and its complement one after the other: length doubles, weight is bf_len; permuted if a seed is given."""
     every = F.sequence(F.lit(0), F.lit(bf_len - 1))
     both = let(pos, lambda x: F.concat(x, F.transform(F.array_except(every, x), lambda p: p + bf_len)))
-    return F.array_sort(both) if seed is None else moved(both, permutation(2 * bf_len, seed))
+    return F.sort_array(both) if seed is None else moved(both, permutation(2 * bf_len, seed))
 
 
 def fold(pos: Column, bf_len: int) -> Column:

@@ -58,7 +58,7 @@ E_SMALL = encoders.Encoding(("a0", "a1"), Q, False, 64, 2)
 
 
 def joined(col):
-    return F.array_join(F.array_sort(col), ",")
+    return F.array_join(F.sort_array(col), ",")
 
 
 def as_bits(df: DataFrame, e: encoders.Encoding, **kw) -> DataFrame:
@@ -257,7 +257,9 @@ def hard_balance(spark, d):
 
 @query("hard_balance_permuted", f"WITH {bits_sql(['a0'])}, {BALANCED}, pm(q, pos) AS (VALUES {', '.join(f'({q}, {r})' for q, r in enumerate(hardening.permutation(2 * L, 42)))}), y AS (SELECT rec_id, pm.pos AS pos FROM x JOIN pm ON pm.q = x.pos) {JOINED.format('y')}")
 def hard_balance_permuted(spark, d):
-    return as_bits(plain(spark, d), encoders.Encoding(("a0",), Q, False, L, K, harden="balance"))
+    e = encoders.Encoding(("a0",), Q, False, L, K, harden="balance")
+    made = lambda df: encoders.encode(df, e).select(*df.columns, joined("bits").alias("bits"), F.size("bits").cast("long").alias("n_bits"))
+    return encoders.per_value(plain(spark, d).select("rec_id", "a0"), ["a0"], made)[["rec_id", "bits", "n_bits"]]
 
 
 @query("hard_fold", f"WITH {bits_sql(['a0'])}, x AS (SELECT rec_id, pos % {L // 2} AS pos FROM b GROUP BY rec_id, pos % {L // 2} HAVING count(*) = 1) {JOINED.format('x')}")

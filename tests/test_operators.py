@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkveil.operators import blocking, evaluate, frequency, graph, matching, mining, statistics
+from linkveil.operators import blocking, encoders, evaluate, frequency, graph, matching, mining, statistics
 from linkveil.operators.components import connected_components
 from linkveil.sources import tables
 
@@ -321,6 +321,24 @@ def test_statistics(spark):
     assert (m.least, m["mean"], m.most) == (0.5, 0.75, 1.0) and m.share_one == pytest.approx(50.0, abs=0.01)
 
 
+def test_balanced_filters_are_made_once_a_value(spark):
+    rows = [(str(i), ("anna", "bo", "", None, "carla")[i % 5]) for i in range(40)]
+    df = spark.createDataFrame(rows, "rec_id string, a string")
+    e = encoders.Encoding(("a",), 2, False, 64, 3, harden="balance")
+    seen = []
+
+    def make(x):
+        seen.append(x.count())
+        return encoders.encode(x, e)
+
+    want = {r.rec_id: r.bits for r in encoders.encode(df, e).collect()}
+    assert all(b == sorted(set(b)) and len(b) == 64 for b in want.values())
+    for most in (100, 3):  # beyond the bound each row is worked out
+        got = encoders.per_value(df, ["a"], make, most)
+        assert got.columns == ["rec_id", "a", "bits"] and {r.rec_id: r.bits for r in got.collect()} == want
+    assert seen == [5, 40]
+
+
 def test_guess_accuracy(spark):
     rows = [(1, "a b", "a b", 3, 1, 9), (2, "a b", "a c", 3, 1, 9), (2, "a b", "x", 30, 1, 9), (3, "q", None, None, 1, 9)]
     df = spark.createDataFrame(rows, "rec_id int, true_value string, value string, n_grams int, lower int, upper int")
