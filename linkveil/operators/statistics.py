@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkveil.functions.columns import let
-
 
 def gram_values(records: DataFrame) -> DataFrame:
     """A3: (gram, value), distinct: the values that hold each q-gram, a row each, for a common q-gram is in most of them."""
@@ -63,13 +62,28 @@ def sampled_positions(bf_len: int, size: int, samples: int, seed: int) -> list[l
     return [sorted(draw.sample(range(bf_len), size)) for _ in range(samples)]
 
 
-def sampled_weights(encoded: DataFrame, bf_len: int, size: int = 2, samples: int = 100, seed: int = 42) -> DataFrame:
-    """(and_mean, and_std, xor_mean, xor_std) of the Hamming weights of random pairs or triples of bit columns."""
+def sampled_weights(encoded: DataFrame, bf_len: int, size: int = 2, samples: int = 100, seed: int = 42, count: str | None = None) -> DataFrame:
+    """(and_mean, and_std, xor_mean, xor_std) of the Hamming weights of random pairs or triples of bit columns.
+
+    count: how many records a row stands for. A row's 1-bits are looked up once each: the samples that hold a position are fields of
+    64-bit words, and the words' sum counts how many of its positions each sample meets.
+    """
     combos = sampled_positions(bf_len, size, samples, seed)
-    table = F.array(*[F.array(*map(F.lit, c)) for c in combos])
-    hits = let(F.col("bits"), lambda x: F.transform(table, lambda c: F.size(F.array_intersect(c, x))))
-    one = encoded.select(hits.alias("hits")).select(F.posexplode("hits").alias("c", "h"))
-    each = one.groupBy("c").agg(F.sum((F.col("h") == size).cast("int")).alias("a"), F.sum((F.col("h") % 2).cast("int")).alias("x"))
+    width = size.bit_length()
+    fields = 63 // width
+    words = [[0] * bf_len for _ in range(-(-samples // fields))]
+    for c, positions in enumerate(combos):
+        for p in positions:
+            words[c // fields][p] += 1 << width * (c % fields)
+
+    def met(table: list[int]) -> Column:
+        fixed = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+        return F.aggregate("bits", F.lit(0).cast("long"), lambda s, p: s + F.coalesce(F.get(fixed, p), F.lit(0).cast("long")))
+
+    summed = encoded.select(*[met(t).alias(f"w{i}") for i, t in enumerate(words)], (F.col(count) if count else F.lit(1)).cast("long").alias("n"))
+    hits = F.array(*[F.shiftrightunsigned(f"w{c // fields}", width * (c % fields)).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for c in range(samples)])
+    one = summed.select("n", F.posexplode(hits).alias("c", "h"))
+    each = one.groupBy("c").agg(F.sum(F.when(F.col("h") == size, F.col("n")).otherwise(0)).alias("a"), F.sum(F.col("h") % 2 * F.col("n")).alias("x"))
     return each.agg(F.avg("a").alias("and_mean"), F.stddev_pop("a").alias("and_std"), F.avg("x").alias("xor_mean"), F.stddev_pop("x").alias("xor_std"))
 
 

@@ -353,7 +353,8 @@ COMBOS = ", ".join(f"({c}, {p})" for c, ps in enumerate(statistics.sampled_posit
 
 @query("sampled_weights", f"WITH {bits_sql(['a0', 'a1'])}, co(c, pos) AS (VALUES {COMBOS}), h AS (SELECT c, rec_id, count(b.pos) AS h FROM co JOIN b USING (pos) GROUP BY c, rec_id), w AS (SELECT co.c AS c, count(h.h) FILTER (h.h = 2) AS a, count(h.h) FILTER (h.h = 1) AS x FROM (SELECT DISTINCT c FROM co) co LEFT JOIN h ON h.c = co.c GROUP BY co.c) SELECT round(avg(a), 6) AS and_mean, round(stddev_pop(a), 6) AS and_std, round(avg(x), 6) AS xor_mean, round(stddev_pop(x), 6) AS xor_std FROM w")
 def sampled_weights(spark, d):
-    got = statistics.sampled_weights(encoders.encode(plain(spark, d), E_BOTH), L)
+    alike = plain(spark, d).groupBy(*E_BOTH.attributes).agg(F.count("*").alias("n"))  # records of the same values have the same filter
+    got = statistics.sampled_weights(encoders.encode(alike, E_BOTH), L, count="n")
     return got.select(*[r6(c).alias(c) for c in got.columns])
 
 

@@ -339,6 +339,20 @@ def test_balanced_filters_are_made_once_a_value(spark):
     assert seen == [5, 40]
 
 
+def test_sampled_weights(spark):
+    """Against counting, by row and by value with the number of its records; more samples than a word holds, pairs and triples."""
+    rng = random.Random(8)
+    rows = [(sorted(rng.sample(range(30), rng.randint(0, 25))), rng.randint(1, 4)) for _ in range(40)]
+    df = spark.createDataFrame(rows, "bits array<int>, n long")
+    each = df.select("bits", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    for size in (2, 3):
+        hits = [[(len(set(c) & set(b)), n) for b, n in rows] for c in statistics.sampled_positions(30, size, 50, 42)]
+        both, odd = ([sum(n for h, n in of if ok(h)) for of in hits] for ok in (lambda h: h == size, lambda h: h % 2))
+        want = [np.mean(both), np.std(both), np.mean(odd), np.std(odd)]
+        assert list(statistics.sampled_weights(each, 30, size, 50).first()) == pytest.approx(want)
+        assert list(statistics.sampled_weights(df, 30, size, 50, count="n").first()) == pytest.approx(want)
+
+
 def test_guess_accuracy(spark):
     rows = [(1, "a b", "a b", 3, 1, 9), (2, "a b", "a c", 3, 1, 9), (2, "a b", "x", 30, 1, 9), (3, "q", None, None, 1, 9)]
     df = spark.createDataFrame(rows, "rec_id int, true_value string, value string, n_grams int, lower int, upper int")
