@@ -177,6 +177,34 @@ def test_assignment_is_optimal():
         assert len(set(got)) == n and sum(cost[i, j] for i, j in enumerate(got)) == pytest.approx(best)
 
 
+def test_sparse_matching_is_optimal():
+    """Against the dense solver: ties, missing edges, either side larger."""
+    rng = np.random.default_rng(1)
+    for t in range(300):
+        n, m = rng.integers(1, 9, 2)
+        weight = np.where(rng.random((n, m)) < rng.choice([0.2, 0.5, 1]), rng.integers(1, 5, (n, m)) / 7 if t % 2 else rng.random((n, m)), 0)
+        i, j = np.nonzero(weight)
+        mate = matching.sparse_matching(i, j, weight[i, j], n, m)
+        rows = np.flatnonzero(mate >= 0)
+        cost = 1 - (weight if n <= m else weight.T)
+        assert len(set(mate[rows])) == len(rows) and (weight[rows, mate[rows]] > 0).all()
+        assert weight[rows, mate[rows]].sum() == pytest.approx(sum(1 - cost[a, b] for a, b in enumerate(matching.assignment(cost))))
+
+
+def test_hungarian_takes_large_components(spark, monkeypatch):
+    """A component beyond the dense solver's bound; free ends of its two sides are paired off; scores below 0 still need the matrix."""
+    monkeypatch.setattr(matching, "MOST_IN_COMPONENT", 4)
+    rows = [(f"p{i}", f"e{i}", 1.0) for i in range(12)] + [(f"p{i}", f"e{i + 1}", 0.9) for i in range(11)] + [("p12", "e0", 0.5), ("p0", "e13", 0.3)]
+    df = spark.createDataFrame(rows, "plain string, enc string, score double")
+    got = {(r.plain, r.enc): r.score for r in matching.hungarian(df).collect()}
+    assert got == {(f"p{i}", f"e{i}"): 1.0 for i in range(12)} | {("p12", "e13"): 0.1}
+    with pytest.raises(ValueError):
+        matching.hungarian(df.withColumn("score", F.col("score") - 0.4))
+    monkeypatch.setattr(matching, "MOST_PAIRS", 10)
+    with pytest.raises(ValueError):
+        matching.hungarian(df)
+
+
 def test_threshold_search(spark):
     rows = [(f"p{i}", f"e{j}", 0.5 + 0.01 * ((i * 7 + j) % 50)) for i in range(12) for j in range(i, min(i + 3, 12))]
     df = spark.createDataFrame(rows, "plain string, enc string, score double")
