@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -78,12 +80,74 @@ def basic_features(nodes: DataFrame, edges: DataFrame, thresholds: list[float] =
     return joined.na.fill(zero).where(F.col("__all") >= min_degree).drop("__all")
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """A graph as integers, for plans that give it to every task: at (node, i), and both ends and the similarity of every edge, either way."""
+
+    at: DataFrame
+    n: int
+    a: np.ndarray
+    b: np.ndarray
+    sim: np.ndarray
+
+    def near(self, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, to): neighbours of i, by an edge of at least the threshold, are to[ends[i]:ends[i + 1]]."""
+        keep = slice(None) if threshold is None else self.sim >= threshold
+        a, b = self.a[keep], self.b[keep]
+        return np.concatenate(([0], np.cumsum(np.bincount(a, minlength=self.n)))), b[np.argsort(a, kind="stable")]
+
+
+#: Edges of a graph that goes to every task (32 bytes each on the driver); larger ones take joins.
+MOST_EDGES = 5_000_000
+
+
+def numbered(near: DataFrame) -> Numbered:
+    """near: (node, other, sim), every edge from either end."""
+    spark, kind = near.sparkSession, near.schema["node"].dataType.simpleString()
+    names = sorted(r["node"] for r in near.select("node").where("node is not null").distinct().collect())
+    at = spark.createDataFrame(pd.DataFrame({"node": names, "i": np.arange(len(names), dtype=np.int32)}), f"node {kind}, i int")
+    ends = near.join(at, "node").select(F.col("i").alias("a"), "other", "sim").join(at.select(F.col("node").alias("other"), F.col("i").alias("b")), "other").where("a <> b").select("a", "b", "sim").toArrow()
+    return Numbered(at, len(names), *(ends[c].to_numpy() for c in ("a", "b", "sim")))
+
+
+def _deal_out(g: Numbered, solve: Callable, fields: str, block: int = 16) -> DataFrame:
+    """Rows that solve(sources) gives as a data frame for blocks of numbers 0 to n."""
+    spark, n = g.at.sparkSession, g.n
+    blocks = -(-n // block)
+    own = lambda batches: (solve(np.arange(x, min(n, x + block))) for pdf in batches for x in pdf["first"])
+    return spark.range(0, blocks, 1, max(1, min(blocks, 2 * spark.sparkContext.defaultParallelism))).select((F.col("id") * block).alias("first")).mapInPandas(own, fields)
+
+
 def log_bucket(degree: Column) -> Column:
     return F.floor(F.log2(degree.cast("double")) + 1e-12).cast("int")
 
 
-def degree_histograms(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """(node, hop, bucket, n): neighbours (hop 1) and nodes two edges away (hop 2) by the log2 of their full degree."""
+def degree_histograms(edges: DataFrame, threshold: float = 0.0, g: Numbered | None = None) -> DataFrame:
+    """(node, hop, bucket, n): neighbours (hop 1) and nodes two edges away (hop 2) by the log2 of their full degree.
+
+    With g, edges as integers, neighbourhoods are worked out in tasks that have the whole graph; else by joins.
+    """
+    if g is not None:
+        full = np.bincount(g.a, minlength=g.n)
+        bucket = np.floor(np.log2(np.maximum(full, 1)) + 1e-12).astype(np.int64)
+        own = g.at.sparkSession.sparkContext.broadcast((*g.near(threshold), bucket))
+
+        def solve(sources: np.ndarray) -> pd.DataFrame:
+            ends, to, kinds = own.value
+            cells, rows, out = np.zeros((len(kinds), len(sources))), np.flatnonzero(np.diff(ends)), []
+            for c, x in enumerate(sources):
+                cells[to[ends[x] : ends[x + 1]], c] = 1.0
+            far = np.zeros(cells.shape, bool)
+            far[rows] = _pull(ends, to, cells, rows) > 0
+            far &= cells == 0
+            far[sources, np.arange(len(sources))] = False
+            for c, x in enumerate(sources):
+                for hop, met in ((1, cells[:, c] > 0), (2, far[:, c])):
+                    counts = np.bincount(kinds[met])
+                    out += [(int(x), hop, int(b), int(counts[b])) for b in np.flatnonzero(counts)]
+            return pd.DataFrame(out, columns=["i", "hop", "bucket", "n"])
+
+        return _deal_out(g, solve, "i int, hop int, bucket int, n long").join(g.at, "i").select("node", "hop", "bucket", "n")
     full = degrees(edges).select(F.col("node").alias("other"), log_bucket(F.col("degree")).alias("bucket"))
     near = both_ways(edges.where(F.col("sim") >= threshold)).select("node", "other")
     first = near.join(full, "other").groupBy("node", "bucket").agg(F.count("*").alias("n")).withColumn("hop", F.lit(1))
@@ -93,12 +157,28 @@ def degree_histograms(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
     return first.unionByName(second).select("node", "hop", "bucket", "n")
 
 
-def egonets(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
+def egonets(edges: DataFrame, threshold: float = 0.0, g: Numbered | None = None) -> DataFrame:
     """(node, egonet_degree, egonet_density) over neighbours of at least the threshold.
 
     egonet_degree: edges from a neighbour to outside the egonet, at any similarity; density: edges inside it by n (n + 1) / 2
-    for n neighbours.
+    for n neighbours. With g as in degree_histograms.
     """
+    if g is not None:
+        own = g.at.sparkSession.sparkContext.broadcast((*g.near(threshold), *g.near()))
+
+        def solve(sources: np.ndarray) -> pd.DataFrame:
+            ends, to, all_ends, all_to = own.value
+            cells, rows = np.zeros((len(ends) - 1, len(sources))), np.flatnonzero(np.diff(all_ends))
+            for c, x in enumerate(sources):
+                cells[to[ends[x] : ends[x + 1]], c] = 1.0
+            steps = np.zeros(cells.shape)
+            steps[rows] = _pull(all_ends, all_to, cells, rows)
+            steps[sources, np.arange(len(sources))] = 0.0
+            size, twice = cells.sum(axis=0), (steps * cells).sum(axis=0)
+            density = (size + twice / 2) / np.maximum(size * (size + 1) / 2, 1)
+            return pd.DataFrame({"i": sources, "egonet_degree": (steps.sum(axis=0) - twice).astype(np.int64), "egonet_density": density})[size > 0]
+
+        return _deal_out(g, solve, "i int, egonet_degree long, egonet_density double").join(g.at, "i").select("node", "egonet_degree", "egonet_density")
     near = both_ways(edges.where(F.col("sim") >= threshold)).select("node", "other")
     every = both_ways(edges).select(F.col("node").alias("other"), F.col("other").alias("far"))
     steps = near.join(every, "other").where("far <> node")
@@ -206,6 +286,21 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return got.crossJoin(F.broadcast(got.agg(F.greatest(F.lit(1), F.count("*") - 1).alias("rest")))).select("node", (2 * F.col("d") / F.col("rest")).alias("degree_centrality"))
 
 
+def _pull(ends: np.ndarray, to: np.ndarray, cells: np.ndarray, rows: np.ndarray, most_cells: int = 1 << 17) -> np.ndarray:
+    """For each row (a node with neighbours to[ends[i]:ends[i + 1]]) the sum over its neighbours' cells, most_cells at a time."""
+    out, first = np.empty((len(rows), cells.shape[1])), 0
+    most, sizes = max(1, most_cells // cells.shape[1]), ends[rows + 1] - ends[rows]
+    past = np.cumsum(sizes)
+    while first < len(rows):
+        base = past[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(past, base + most, "right")))
+        starts = np.concatenate(([0], past[first : last - 1] - base))
+        near = to[np.repeat(ends[rows[first:last]] - starts, sizes[first:last]) + np.arange(past[last - 1] - base)]
+        np.add.reduceat(cells[near], starts, axis=0, out=out[first:last])
+        first = last
+    return out
+
+
 def _sweep(ends: np.ndarray, to: np.ndarray, sources: np.ndarray, between: np.ndarray, most_cells: int = 1 << 17) -> np.ndarray:
     """The sum of distances from each of the sources; between gets the shares of their shortest paths through every node.
 
@@ -213,23 +308,8 @@ def _sweep(ends: np.ndarray, to: np.ndarray, sources: np.ndarray, between: np.nd
     touches the neighbours of the last one alone, most_cells cells at a time.
     """
     n, wide = len(ends) - 1, len(sources)
-    most = max(1, most_cells // wide)
     sizes = np.diff(ends)
-
-    def pull(cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """For each row the sum over its neighbours' cells."""
-        out, first = np.empty((len(rows), wide)), 0
-        past = np.cumsum(sizes[rows])
-        while first < len(rows):
-            base = past[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(past, base + most, "right")))
-            own = rows[first:last]
-            starts = np.concatenate(([0], past[first : last - 1] - base))
-            near = to[np.repeat(ends[own] - starts, sizes[own]) + np.arange(past[last - 1] - base)]
-            np.add.reduceat(cells[near], starts, axis=0, out=out[first:last])
-            first = last
-        return out
-
+    pull = lambda cells, rows: _pull(ends, to, cells, rows, most_cells)
     dist = np.full((n, wide), -1, np.int32)
     paths, cells = np.zeros((n, wide)), np.zeros((n, wide))
     columns = np.arange(wide)
@@ -265,16 +345,11 @@ def _sweep(ends: np.ndarray, to: np.ndarray, sources: np.ndarray, between: np.nd
     return np.maximum(dist, 0).sum(axis=0)
 
 
-def _paths_by_sources(near: DataFrame, nodes: DataFrame, block: int = 16) -> DataFrame:
+def _paths_by_sources(near: DataFrame, block: int = 16) -> DataFrame:
     """(node, reach, between) like _paths_by_levels: the adjacency goes to every task as integers, and blocks of sources are dealt out."""
-    spark = near.sparkSession
-    names = sorted(r["node"] for r in nodes.select("node").collect())
-    n, kind = len(names), near.schema["node"].dataType.simpleString()
-    # a literal table of numbers would be larger than the numbers of both ends
-    at = spark.createDataFrame(pd.DataFrame({"node": names, "i": np.arange(n, dtype=np.int32)}), f"node {kind}, i int")
-    ends = near.join(at, "node").select(F.col("i").alias("a"), "other").join(at.select(F.col("node").alias("other"), F.col("i").alias("b")), "other").where("a <> b").select("a", "b").toArrow()
-    a, b = (ends[c].to_numpy() for c in ("a", "b"))
-    own = spark.sparkContext.broadcast((np.concatenate(([0], np.cumsum(np.bincount(a, minlength=n)))), b[np.argsort(a, kind="stable")]))
+    g = numbered(near.withColumn("sim", F.lit(1.0)))
+    n, spark = g.n, near.sparkSession
+    own = spark.sparkContext.broadcast(g.near())
 
     def solve(batches):
         starts, to = own.value
@@ -289,13 +364,13 @@ def _paths_by_sources(near: DataFrame, nodes: DataFrame, block: int = 16) -> Dat
     blocks = -(-n // block)
     tasks = min(blocks, 2 * spark.sparkContext.defaultParallelism)
     parts = spark.range(0, blocks, 1, tasks).select((F.col("id") * block).alias("first")).mapInPandas(solve, "i int, reach long, between double")
-    out = parts.groupBy("i").agg(F.sum("reach").alias("reach"), F.sum("between").alias("between")).join(at, "i").select("node", "reach", "between")
+    out = parts.groupBy("i").agg(F.sum("reach").alias("reach"), F.sum("between").alias("between")).join(g.at, "i").select("node", "reach", "between")
     out = materialize(out, "paths-done")
     own.destroy()
     return out
 
 
-def path_centralities(edges: DataFrame, most_nodes: int = 1_000, state_rows: int = 50_000_000, most_edges: int = 5_000_000) -> DataFrame:
+def path_centralities(edges: DataFrame, most_nodes: int = 1_000, state_rows: int = 50_000_000, most_edges: int = MOST_EDGES) -> DataFrame:
     """(node, closeness, betweenness, degree_centrality), exact breadth-first counts within each component.
 
     degree_centrality counts every edge at both of its directions, in and out. A component of at most most_nodes nodes is
@@ -335,7 +410,7 @@ def path_centralities(edges: DataFrame, most_nodes: int = 1_000, state_rows: int
     far = inside.where(F.col("n") > most_nodes).withColumn("sim", F.lit(1.0))
     near = materialize(both_ways(far).select("node", "other").distinct(), "adjacent")
     rest = max(1, total - 1)
-    paths = _paths_by_sources(near, nodes) if near.count() <= 2 * most_edges else _paths_by_levels(near, nodes, state_rows)
+    paths = _paths_by_sources(near) if near.count() <= 2 * most_edges else _paths_by_levels(near, nodes, state_rows)
     found = paths.join(nodes, "node").join(near.groupBy("node").agg(F.count("*").alias("d")), "node")
     close = (F.col("n") - 1) / F.col("reach") * ((F.col("n") - 1) / rest)
     between = F.col("between") / scale if scale > 0 else F.lit(0.0)
@@ -356,14 +431,15 @@ def node_features(
     """
     out = basic_features(nodes, edges, list(thresholds), min_degree)
     more = []
+    g = numbered(both_ways(edges)) if {"histograms", "egonets"} & set(kinds) and edges.count() <= MOST_EDGES else None
     n = (bucket_count(edges) if buckets is None else buckets) if "histograms" in kinds else 0
     for t in thresholds:
         x = round(100 * t)
         if n:
             each = [F.coalesce(F.sum(F.when((F.col("hop") == h) & (F.col("bucket") == b), F.col("n"))), F.lit(0).cast("long")).alias(f"degree_histo{h}_{b}_{x}") for h in (1, 2) for b in range(n)]
-            more.append(degree_histograms(edges, t).groupBy("node").agg(*each))
+            more.append(degree_histograms(edges, t, g).groupBy("node").agg(*each))
         if "egonets" in kinds:
-            more.append(egonets(edges, t).withColumnsRenamed({c: f"{c}_{x}" for c in ("egonet_degree", "egonet_density")}))
+            more.append(egonets(edges, t, g).withColumnsRenamed({c: f"{c}_{x}" for c in ("egonet_degree", "egonet_density")}))
     more += [f(edges) for kind, f in (("pagerank", pagerank), ("eigenvector", eigenvector), ("paths", path_centralities)) if kind in kinds]
     for one in more:
         out = out.join(materialize(one, "features-of-a-kind"), "node", "left")

@@ -291,6 +291,20 @@ def test_path_centralities_by_sources(spark, monkeypatch):
         assert joined[node] == pytest.approx(values) and dealt[node] == pytest.approx(values), node
 
 
+def test_neighbourhoods_in_numbers(spark):
+    """Degree histograms and egonets in tasks that have the graph, against joins, nodes without a near neighbour and several blocks too."""
+    draw = random.Random(6)
+    rows = [(f"n{a}", f"n{b}", round(draw.random(), 2)) for a, b in itertools.combinations(range(10, 50), 2) if draw.random() < 0.12] + [("x", "y", 0.1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, sim double")
+    g = graph.numbered(graph.both_ways(edges))
+    for t in (0.0, 0.6):
+        for f in (graph.degree_histograms, graph.egonets):
+            want, got = (sorted(tuple(r) for r in f(edges, t, x).collect()) for x in (None, g))
+            assert want and len(got) == len(want)
+            for x, y in zip(got, want, strict=True):
+                assert x[:-1] == y[:-1] and x[-1] == pytest.approx(y[-1])
+
+
 def test_degree_centrality_needs_no_paths(spark, monkeypatch):
     edges = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.5), ("b", "c", 0.7), ("c", "d", 0.95)], "src string, dst string, sim double")
     want = {r.node: r.degree_centrality for r in graph.path_centralities(edges).collect()}
